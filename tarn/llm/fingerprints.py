@@ -19,7 +19,7 @@ from tarn.llm.common import text_or_empty
 
 EQUAL, LIKE, PIECE = 4, 64, 4
 _PIECES = r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,%d}" % PIECE
-_PAIR = 0x0000000100000001
+_FIELDS, _SLICE = 0x0001000100010001, 32768
 _ROWS = 1024
 
 
@@ -27,6 +27,11 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sums(hashes: Column, parts: list) -> Column:
     """The sums over an array of hashes of what each of parts makes of a hash."""
     zero = F.array(*[_long(0)] * len(parts))
@@ -49,20 +54,23 @@ def fingerprint_vector(text: Column) -> Column:
         ],
     )
     pieces = F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p)))
-    # One long counts the ones of two bits of the hashes: 32 additions a piece serve 64 lanes.
-    signs = [lambda h, k=k: 2 * F.shiftrightunsigned(h, k).bitwiseAND(_long(_PAIR)) for k in range(LIKE // 2)]
-    # The last sum is the number of pieces; twice the ones less that number is the sum of the signs.
-    like = _sums(pieces, [*signs, lambda h: _long(1)])
-
-    def signed(sums: Column) -> Column:
-        n = F.get(sums, F.lit(LIKE // 2))
-        lanes = [F.get(sums, F.lit(k)) for k in range(LIKE // 2)]
-        both = [half for x in lanes for half in (x.bitwiseAND(low), F.shiftrightunsigned(x, 32))]
-        return F.array(*[F.pmod(x - n + 0x8000, F.lit(0x10000)) - 0x8000 for x in both])
-
-    # transform over a single element evaluates the sums once, however often the lambda names them.
-    lanes = F.get(F.transform(F.array(like), signed), F.lit(0))
-    return F.concat(F.transform(equal, lambda x: x.bitwiseAND(low)), lanes)
+    # One long counts the ones of four bits of the hashes in fields of 16 bits: 16 additions a piece serve
+    # 64 lanes, and a field cannot overflow within _SLICE pieces.
+    fields = [lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(_long(_FIELDS)) for k in range(16)]
+
+    def unpacked(sums: Column) -> Column:
+        return F.array(*[F.shiftrightunsigned(F.get(sums, F.lit(k)), 16 * j).bitwiseAND(F.lit(0xFFFF)) for k in range(16) for j in range(4)])
+
+    def signed(hashes: Column) -> Column:
+        slices = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / _SLICE).cast("int")),
+            lambda g: _let(_sums(F.slice(hashes, g * _SLICE + 1, F.lit(_SLICE)), fields), unpacked),
+        )
+        ones = F.aggregate(slices, F.array_repeat(_long(0), LIKE), lambda acc, x: F.zip_with(acc, x, lambda i, j: i + j))
+        return F.transform(ones, lambda x: F.pmod(2 * x - F.size(hashes) + 0x8000, F.lit(0x10000)) - 0x8000)
+
+    like = _let(pieces, lambda h: F.when(F.size(h) == 0, F.array_repeat(_long(0), LIKE)).otherwise(signed(h)))
+    return F.concat(F.transform(equal, lambda x: x.bitwiseAND(low)), like)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
