@@ -102,7 +102,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     slots = slots.withColumn("stretch", F.expr("shiftright(slot, greatest(bits - 10, 0))"))
     counts = slots.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = slots.join(counts.select("key", "stretch", offset.alias("offset")), ["key", "stretch"]).withColumn(
+    ranked = slots.hint("shuffle_merge").join(counts.select("key", "stretch", offset.alias("offset")), ["key", "stretch"]).withColumn(
         "rank", F.col("offset") + F.row_number().over(Window.partitionBy("key", "stretch").orderBy("slot")) - 1
     )
     b, left = F.col("rank") % F.col("blocks"), F.when(F.expr("rank div blocks") < F.col("passes"), F.col("source_size")).otherwise(F.col("rest"))
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
     high = F.col("start") + F.col("row.size") - F.col("block") * block
     got = F.aggregate("uses", F.lit(0).cast("long"), lambda acc, use: acc + F.greatest(F.least(high, use["words"]) - low, F.lit(0)))
     taken = (
-        pieces.join(used, ["key", "block"], "left")
+        pieces.join(used.hint("shuffle_merge"), ["key", "block"], "left")
         .groupBy("row", "key", "start").agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"))
         .select("row.*", F.col("taken").cast("long").alias("taken"))
     )

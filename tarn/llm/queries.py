@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import table
+from tarn.llm import quality
+from tarn.llm.decontamination import leaked_items
 from tarn.llm.fingerprints import fingerprint_edits
 from tarn.llm.mixing import mix
 from tarn.llm.sharding import assign_shards
 from tarn.llm.simhash import near_duplicates
 
 
+def op1_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -19,6 +25,11 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -27,7 +38,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op6_jump_shards, op9_multiset_fingerprint, op10_simhash_pivots)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op6_jump_shards, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
 
 ORACLE = {
     "op3_source_mix": r"""
