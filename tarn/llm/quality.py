@@ -22,6 +22,7 @@ from tarn.llm.common import small_batches
 #: Rows of each kind that the fit takes at most, chosen by a hash of their ids.
 SAMPLE = 20_000
 THRESHOLD = 0.3
+LEAST = 0.01
 FEATURES = (
     "upper", "symbol", "bang", "bar", "digit", "comma", "stop", "space", "same_as_before", "distinct",
     "top_word", "word_chars", "long_words", "same_lines", "lines", "brevity", "marked_words", "capital_words",
@@ -63,8 +64,7 @@ class Model:
         self.cuts, self.weights, self.prior = cuts, weights, prior
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        """A column of ones, whether each feature passes each of its thresholds, and pairs of the
-        ends of the features' ranges are left out: the model is additive."""
+        """A column of ones, and whether each feature passes each of its thresholds."""
         steps = (x[:, :, None] > self.cuts[None]).reshape(len(x), -1)
         return np.concatenate([np.ones((len(x), 1)), steps], axis=1)
 
@@ -103,7 +103,8 @@ def fit(good: np.ndarray, unlabelled: np.ndarray) -> Model:
         return Model(np.zeros((len(FEATURES), 1)), np.r_[5.0, np.zeros(len(FEATURES))], 1.0)
     both = np.concatenate([good, unlabelled])
     tail = np.array([0.005, 0.02, 0.05, 0.12, 0.88, 0.95, 0.98, 0.995])[:_BINS]
-    model = Model(np.quantile(both, tail, axis=0).T, np.zeros(1), 0.5)
+    # Shares below LEAST are not told from none: one odd word must not mark a long text.
+    model = Model(np.maximum(np.quantile(both, tail, axis=0).T, LEAST), np.zeros(1), 0.5)
     p, u = model.design(good), model.design(unlabelled)
     # The first classifier only tells the samples apart; its order of texts is that of their quality.
     first = _descend(p, u, 0.5)
@@ -118,8 +119,8 @@ def _split(id_column: str = "doc_id") -> Column:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["good", "x"])
+        rows = [features(t or "") for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -140,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = positive.unionByName(unlabelled)
     texts = rows.select("doc_id", "text").filter(F.col("text").isNotNull())
     found = texts.join(F.broadcast(ids), "doc_id") if ids.count() <= 2 * sample + 1000 else texts.join(ids, "doc_id")
-    got = found.select("good", "text").mapInArrow(_feature_rows, "good boolean, x array<double>").toPandas()
+    got = found.select("doc_id", "good", "text").mapInArrow(_feature_rows, "doc_id long, good boolean, x array<double>").toPandas()
+    got = got.assign(first=[tuple(x) for x in got["x"]]).sort_values(["doc_id", "good", "first"])  # sums must not depend on the order of arrival
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     mark = got["good"].to_numpy(dtype=bool)
     return fit(x[mark], x[~mark])
