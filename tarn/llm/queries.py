@@ -11,6 +11,7 @@ from tarn.llm.fingerprints import fingerprint_edits
 from tarn.llm.mixing import mix
 from tarn.llm.sharding import assign_shards
 from tarn.llm.simhash import near_duplicates
+from tarn.llm.suffixes import without_repeats
 
 
 def op1_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -38,7 +43,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op6_jump_shards, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op5_suffix_array_dedup, op6_jump_shards, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
 
 ORACLE = {
     "op3_source_mix": r"""
