@@ -7,13 +7,16 @@ string starts is found in three steps.
    inside it. The anchor depends on the window's bytes alone, so equal windows have equal anchors.
    Neighbouring windows with one anchor are a segment: one row for some 130 windows. An anchor that
    occurs once in the corpus ends its windows' search; most do. Segments whose bytes are equal are
-   repeated as a whole, and one of them stands for all.
+   repeated as a whole, and one of them stands for all; those that repeat within the text that is hashed
+   at once, as in lines said over and over, are settled there and leave one row.
 2. What is left are groups of different segments with one anchor, the edges of repeats. They are dealt
    into blocks of bounded size, and each block's windows are sorted in a suffix array: only suffixes
    smaller than their successors are sorted directly, the others are induced by one scan over the
    buckets of the first byte. Adjacent common prefixes of LENGTH bytes are repeats.
-3. A group too large for a block is dealt over several by its segments' hashes; its windows that are
-   alone in their block are then compared across blocks by digest.
+3. The segments of a group too large for a block are cut into chunks of STEP windows, by the distance
+   from the anchor. A chunk's windows share a core of bytes; a chunk whose core no other has is done.
+   The others are groups of their own. One that is still too large is dealt over several blocks by its
+   bytes' hashes; its windows that are alone in their block are then compared across blocks by digest.
 
 Identity of segments and of windows across blocks rests on the anchor's and a second hash, 128 bits.
 """
@@ -34,6 +37,7 @@ from tarn.llm.common import materialise, small_batches, text_or_empty
 LENGTH, GRAM = 400, 144
 #: Bytes of segments in a block, and of text that is hashed at once.
 BLOCK_BYTES, PIECE_BYTES = 1 << 19, 1 << 20
+STEP = 8
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,7 +72,11 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, anchor hash, segment hash) of all segments of the texts."""
+    """(text, first window, last window, anchor hash, segment hash, n) of all segments of the texts.
+
+    n is how often the segment's bytes occur in what was hashed at once: 1, or for the first of equals
+    their number. Windows of such equals come as further rows with n = 0, neighbours joined.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, bytes]] = []
 
@@ -94,7 +102,23 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         own = owner[low]
         shift = offsets[own] - starts[own]
         digest = np.fromiter((xxhash.xxh3_64_intdigest(whole[a : b + LENGTH]) for a, b in zip(low.tolist(), high.tolist())), dtype=np.uint64, count=len(low))
-        out.append((held_texts[own], low + shift, high + shift, h[at[low]].view(np.int64), digest.view(np.int64)))
+        anchor = h[at[low]]
+        order = np.lexsort((low, digest, anchor))
+        same = np.r_[False, (anchor[order][1:] == anchor[order][:-1]) & (digest[order][1:] == digest[order][:-1])]
+        first = np.flatnonzero(~same)
+        times = np.diff(np.r_[first, len(order)])
+        equal = np.zeros(len(low), dtype=bool)
+        equal[order[np.repeat(times > 1, times)]] = True
+        one = order[first]
+        out.append((held_texts[own][one], (low + shift)[one], (high + shift)[one], anchor[one].view(np.int64), digest[one].view(np.int64), times))
+        known = np.flatnonzero(equal)
+        if len(known):
+            # low and high of neighbouring segments touch, and never across texts.
+            begins = np.r_[True, low[known][1:] != high[known][:-1] + 1]
+            head = known[begins]
+            tail = known[np.r_[np.flatnonzero(begins)[1:], len(known)] - 1]
+            zero = np.zeros(len(head), dtype=np.int64)
+            out.append((held_texts[own][head], (low + shift)[head], (high + shift)[tail], zero, zero, zero))
 
     size = 0
     for i, text in enumerate(texts):
@@ -109,16 +133,16 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
                 size += len(piece)
     flush()
     if not out:
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["d", "th", "low", "high", "anchor", "seg"]
+    names = ["d", "th", "low", "high", "anchor", "seg", "n"]
     for batch in batches:
-        text, low, high, anchor, seg = segments(batch.column(2).to_pylist())
+        text, low, high, anchor, seg, n = segments(batch.column(2).to_pylist())
         d, th = (batch.column(k).to_numpy(zero_copy_only=False)[text] for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in (d, th, low, high, anchor, seg)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in (d, th, low, high, anchor, seg, n)], names)
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------
@@ -248,13 +272,37 @@ def _solve(block: pa.Table) -> pa.Table:
 _SLICE = "block long, anchor long, alone boolean, spread boolean, d long, th long, low long, bytes binary"
 
 
+def chunks(segment: bytes, step: int = STEP) -> list[tuple[int, int, int]]:
+    """(first window, last window, key) of the chunks of a segment; windows that are equal are in chunks
+    of one key, in whatever segment of the group they are."""
+    h = gram_hashes(np.frombuffer(segment, dtype=np.uint8))
+    anchor, last = int(np.argmin(h[: LENGTH - GRAM + 1])), len(segment) - LENGTH
+    out = []
+    for c in range((anchor - last) // step, anchor // step + 1):
+        # The windows that begin step * c to step * c + step - 1 bytes before the anchor. What all of
+        # them cover is inside each of them, so it is there even if the segment has only some of them.
+        first = anchor - step * c
+        low, high = max(0, first - step + 1), min(last, first)
+        if low <= high:
+            key = xxhash.xxh3_64_intdigest(segment[first : first - step + 1 + LENGTH], c)
+            out.append((low, high, key - ((key >> 63) << 64)))
+    return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of wanted segments; of those of large groups in chunks, with the chunk's key for anchor."""
     names = [x.split()[0] for x in _SLICE.split(", ")]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
         rows = []
         for d, th, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            rows += [(w["block"], w["anchor"], w["alone"], w["spread"], d, th, w["low"], text[w["low"] : w["high"] + LENGTH]) for w in wanted]
+            for w in wanted:
+                part = text[w["low"] : w["high"] + LENGTH]
+                if w["spread"]:
+                    for low, high, key in chunks(part):
+                        rows.append((None, key ^ w["anchor"], w["alone"], True, d, th, w["low"] + low, part[low : high + LENGTH]))
+                else:
+                    rows.append((w["block"], w["anchor"], w["alone"], False, d, th, w["low"], part))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 8, types)], names)
 
 
@@ -278,39 +326,45 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """d, th, low, high: stretches of windows that also start elsewhere. docs: d, th, bytes; d and th name
     a document by its id and text, and rows that agree in both are copies of each other."""
-    every = materialise(docs.mapInArrow(_segment_rows, "d long, th long, low long, high long, anchor long, seg long"), "segments")
-    common = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    met = materialise(every.join(common.hint("shuffle_merge"), "anchor", "left_semi"), "met")
+    every = materialise(docs.mapInArrow(_segment_rows, "d long, th long, low long, high long, anchor long, seg long, n long"), "segments")
+    rows, settled = every.filter("n > 0"), every.filter("n = 0").select("d", "th", "low", "high")
+    common = rows.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    met = materialise(rows.join(common.hint("shuffle_merge"), "anchor", "left_semi"), "met")
     one = F.min(F.struct("d", "th", "low", "high")).alias("one")
-    distinct = materialise(met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), one), "distinct")
-    whole = met.join(distinct.filter("n > 1").select("anchor", "seg").hint("shuffle_merge"), ["anchor", "seg"], "left_semi").select("d", "th", "low", "high")
+    distinct = materialise(met.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), one), "distinct")
+    again = distinct.filter("n > 1").select("anchor", "seg")
+    whole = met.filter("n = 1").join(again.hint("shuffle_merge"), ["anchor", "seg"], "left_semi").select("d", "th", "low", "high")
 
     width = F.col("one.high") - F.col("one.low") + LENGTH
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(width).alias("size")).filter("k > 1")
     blocks = max(1, -(-(groups.agg(F.sum("size")).first()[0] or 0) // block_bytes))
-    cuts = F.ceil(F.col("size") / block_bytes)
-    spread = F.col("size") > 2 * block_bytes
-    place = F.when(spread, F.xxhash64("anchor", F.pmod(F.xxhash64(F.lit("cut"), "seg"), cuts))).otherwise(F.xxhash64("anchor"))
+    large = F.col("size") > 2 * block_bytes
+    block = F.pmod(F.xxhash64("anchor"), F.lit(blocks))
     wanted = (
         distinct.join(groups.hint("shuffle_merge"), "anchor")
-        .select("one.*", "anchor", F.pmod(place, F.lit(blocks)).alias("block"), (F.col("n") == 1).alias("alone"), spread.alias("spread"))
+        .select("one.*", "anchor", block.alias("block"), (F.col("n") == 1).alias("alone"), large.alias("spread"))
         .groupBy("d", "th").agg(F.collect_list(F.struct("low", "high", "anchor", "block", "alone", "spread")).alias("wanted"))
     )
     slices = docs.join(wanted.hint("shuffle_merge"), ["d", "th"]).select("d", "th", "bytes", "wanted").mapInArrow(_slices, _SLICE)
-    found = materialise(slices.groupBy("block").applyInArrow(_solve, _FOUND), "found")
+    slices = materialise(slices, "slices")
+    cut = slices.filter("spread").drop("block", "spread")
+    sizes = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("bytes")).alias("size")).filter("k > 1")
+    own = F.xxhash64("anchor", F.when(large, F.pmod(F.xxhash64("bytes"), F.ceil(F.col("size") / block_bytes))))
+    cut = cut.join(sizes.hint("shuffle_merge"), "anchor").select(F.pmod(own, F.lit(blocks)).alias("block"), large.alias("spread"), *cut.columns)
+    whole_groups = slices.filter("not spread").select(cut.columns)
+    found = materialise(whole_groups.unionByName(cut).groupBy("block").applyInArrow(_solve, _FOUND), "found")
     inside = found.filter("digest is null").select("d", "th", "low", "high")
     spread_rows = found.filter("digest is not null")
-    again = spread_rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "digest")
-    across = spread_rows.filter("low is not null").join(again, ["anchor", "digest"], "left_semi").select("d", "th", "low", "high")
-    return whole.unionByName(inside).unionByName(across)
+    met_again = spread_rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "digest")
+    across = spread_rows.filter("low is not null").join(met_again.hint("shuffle_merge"), ["anchor", "digest"], "left_semi").select("d", "th", "low", "high")
+    return settled.unionByName(whole).unionByName(inside).unionByName(across)
 
 
 def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document.
 
     Null text is empty. Texts under LENGTH bytes keep all. Copies of a document, rows equal in id and text
-    included, are elsewhere to each other. Every row gives a row. A text of one repeated byte has a row for
-    each of its windows in the first step; no other input makes more rows than a fraction of its bytes.
+    included, are elsewhere to each other. Every row gives a row.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(
