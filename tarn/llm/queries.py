@@ -8,6 +8,7 @@ from tarn.llm.common import table
 from tarn.llm import quality
 from tarn.llm.decontamination import leaked_items
 from tarn.llm.fingerprints import fingerprint_edits
+from tarn.llm.language_model import language_scores
 from tarn.llm.mixing import mix
 from tarn.llm.sharding import assign_shards
 from tarn.llm.simhash import near_duplicates
@@ -30,6 +31,10 @@ def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +48,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op5_suffix_array_dedup, op6_jump_shards, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
 
 ORACLE = {
     "op3_source_mix": r"""
