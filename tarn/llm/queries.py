@@ -10,6 +10,7 @@ from tarn.llm.decontamination import leaked_items
 from tarn.llm.fingerprints import fingerprint_edits
 from tarn.llm.language_model import language_scores
 from tarn.llm.mixing import mix
+from tarn.llm.pii import personal_data
 from tarn.llm.sharding import assign_shards
 from tarn.llm.simhash import near_duplicates
 from tarn.llm.suffixes import without_repeats
@@ -23,6 +24,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_undisguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -48,7 +53,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
 
 ORACLE = {
     "op3_source_mix": r"""
