@@ -157,3 +157,21 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
         .select("row.*", F.col("taken").cast("long").alias("taken"))
     )
     return taken.unionByName(rows.filter("size = 0").select(row).select("row.*").withColumn("taken", F.lit(0).cast("long")))
+
+
+def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs, all columns, each as often as the mix takes it to the nearest whole copy (0, 1 or 2 times).
+
+    Only the document at the end of a source's last, partial pass is taken in part. Rows equal in id and
+    size share their copies by rank.
+    """
+    size = word_count(text_or_empty())
+    alike = Window.partitionBy("__id", "__none", "__size")
+    name = lambda: [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
+    keys = ["__id", "__none", "__size", "__rank"]
+    taken = mix(docs, block).select(*name(), F.col("size").alias("__size"), "taken")
+    copies = F.when(F.col("__size") > 0, F.expr("(2 * taken + __size) div (2 * __size)")).otherwise(0)
+    taken = taken.withColumn("__rank", F.row_number().over(alike.orderBy("taken"))).select(*keys, copies.cast("int").alias("__copies")).filter("__copies > 0")
+    rows = docs.select(*docs.columns, *name(), size.alias("__size"))
+    rows = rows.withColumn("__rank", F.row_number().over(alike.orderBy(F.lit(1))))
+    return rows.join(taken.hint("shuffle_merge"), keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

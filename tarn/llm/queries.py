@@ -8,6 +8,7 @@ from tarn.llm.common import table
 from tarn.llm import quality
 from tarn.llm.decontamination import leaked_items
 from tarn.llm.fingerprints import fingerprint_edits
+from tarn.llm.html_text import extract
 from tarn.llm.language_model import language_scores
 from tarn.llm.mixing import mix
 from tarn.llm.pii import personal_data
@@ -20,6 +21,10 @@ def op1_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_max_scoring_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op2_max_scoring_text, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
 
 ORACLE = {
     "op3_source_mix": r"""

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialise, small_batches
+from tarn.llm.common import materialise, small_batches, text_or_empty
 from tarn.llm.components import components
 
 SEED, WORDS, PIVOTS = 42, 3, 16
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
         values = np.fromiter((simhash(t or b"") for t in texts), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values.view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def _pairs(rows: dict[str, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,18 +166,39 @@ def fingerprint_links(nodes: DataFrame, bits: int = 2, cell_rows: int = CELL) ->
     return met.repartition("cell").sortWithinPartitions("cell", "p0").mapInArrow(_links(bits), "u long, v long")
 
 
+def _named(docs: DataFrame, bits: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): doc_id, th (a hash of the text) and fp of every row; fp and low, the least
+    (null id last, doc_id, th) of its component."""
+    small_batches(docs.sparkSession)
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty()).alias("th"))
+    marked = materialise(hashed.mapInArrow(_fingerprints, "doc_id long, th long, fp long"), "fingerprints")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    nodes = marked.groupBy("fp").agg(low.alias("low"))
+    stars = components(fingerprint_links(nodes, bits, cell_rows))
+    roots = nodes.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = roots.groupBy("root").agg(F.min("low").alias("low"))
+    return marked, roots.select("fp", "root").join(lowest, "root").select("fp", "low")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 2, cell_rows: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (the lowest doc_id reachable).
 
     Documents link when their fingerprints differ in at most `bits` bits. Null text is empty: its
-    fingerprint is zero and links like any other. Null ids take no part in a lowest id, and a component
+    fingerprint is zero and links like any other. Null ids are higher than all others, so a component
     of null ids only has a null id. Repeated rows are kept.
     """
-    small_batches(docs.sparkSession)
-    marked = materialise(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    stars = components(fingerprint_links(nodes, bits, cell_rows))
-    roots = nodes.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = roots.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked, groups = _named(docs, bits, cell_rows)
+    return marked.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, bits: int = 2, cell_rows: int = CELL) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the lowest doc_id (of rows equal in id,
+    that of the lowest hash of the text; of rows equal in both, any)."""
+    _, groups = _named(docs, bits, cell_rows)
+    key = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"))
+    whole = lambda k: [F.col(f"{k}.none").alias("__none"), F.coalesce(F.col(f"{k}.doc_id"), F.lit(0)).alias("__d"), F.col(f"{k}.th").alias("__th")]
+    names = ["__none", "__d", "__th"]
+    kept = groups.select(*whole("low")).distinct()
+    rows = docs.withColumn("__key", key()).select(*docs.columns, *whole("__key"))
+    order = Window.partitionBy(*names).orderBy(F.lit(1))
+    return rows.join(kept.hint("shuffle_merge"), names, "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").select(*docs.columns)
