@@ -206,7 +206,7 @@ def signs(text: str) -> list[Rewrite]:
         inside = [(a + before.start(), b + before.start(), c) for a, b, c in inside]
         behind = [(x.start(), x.end(), ".") for x in _DOTS.finditer(text, after.start(), after.end())]
         # A plain word between two words is an address only if something else says so.
-        if m["word"] and not behind and not re.search(r"[0-9._+]", before[0]):
+        if m["word"] and (not re.search(r"[A-Za-z]{2,}\Z", after[0]) or not behind and not re.search(r"[0-9._+]", before[0])):
             continue
         if m["sign"] and len(m[0]) > 1 and not behind and not inside:
             continue

@@ -86,7 +86,7 @@ def _pairs(rows: dict[str, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarr
         for k in range(1, table.shape[1]):
             ok = np.abs(table[a, k] - table[b, k]) <= bits
             a, b = a[ok], b[ok]
-        ok = np.bitwise_count(fp[a] ^ fp[b]) <= bits
+        ok = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= bits  # of a negative number it counts the absolute value's
         if ok.any():
             found.append((a[ok], b[ok]))
         shift += 1
