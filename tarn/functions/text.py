@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that carry nothing in an anchor's or a title's text.
 STOPWORDS = ("a", "an", "the", "at", "in", "of", "for", "and", "job", "jobs", "role", "apply", "view", "remote")
@@ -18,7 +19,7 @@ LEGAL_SUFFIXES = (
 _WIDE_SPACE = r"[\s ﻿]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """NFKC; only needed where compatibility characters occur, so callers keep it off the hot path."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

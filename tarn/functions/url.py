@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, quote, quote_plus, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that only track.
 TRACKING = (
@@ -87,7 +88,7 @@ def _canonical(raw: str | None, page: str | None) -> str | None:
     return whole[:-1] if whole.endswith("/") else whole
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_url(raw: pd.Series, page: pd.Series) -> pd.Series:
     """The canonical form with full resolution against the page: dot segments, escapes, any scheme."""
     return pd.Series([_canonical(r, p) for r, p in zip(raw, page)], dtype=object)

@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions.html import resolve_href
 from tarn.functions.text import norm_text
@@ -22,7 +23,7 @@ from tarn.operators.links import anchor_score
 
 _SKIP = frozenset("script style noscript template svg iframe head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CARD = "array<struct<href: string, title: string, text: string>>"
+_CARD = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("href", "title", "text")]))
 
 
 class Element:

@@ -52,24 +52,29 @@ def repairs(crawl: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def _two_earliest(sent: DataFrame, *by: str) -> DataFrame:
+    """The two lowest (dup_at, dup_id) of each group: one of them is another row than the one that asks."""
+    order = Window.partitionBy(*by).orderBy("dup_at", "dup_id")
+    return sent.withColumn("rn", F.row_number().over(order)).filter("rn <= 2").drop("rn")
+
+
 def duplicates(rows: DataFrame, now: Column | None = None) -> DataFrame:
-    """id, duplicate_of: for each row the earliest other one of its content_key notified within the horizon
-    before `now` (by default the row's own first_seen_at).
+    """id, duplicate_of: for each row the earliest other one of its content_key that was notified within the
+    horizon before `now`; without it, within the horizon before the row's own first_seen_at.
 
-    rows: id, content_key, first_seen_at, notified_at. The key's join may be skewed by popular keys; rows of
-    one key are first reduced to one earliest per day, which the answer is among but for the row itself, so
-    two per day are kept.
+    rows: id, content_key, first_seen_at, notified_at. With a common `now` each key is first reduced to its
+    two earliest rows. Without it, both sides are dealt by (key, fortnight), so that a popular key is spread
+    over time, and rows of one key and instant are reduced to two.
     """
-    per_day = Window.partitionBy("content_key", F.to_date("notified_at")).orderBy("notified_at", "id")
-    sent = (
-        rows.filter("content_key is not null and notified_at is not null").withColumn("rn", F.row_number().over(per_day)).filter("rn <= 2")
-        .select("content_key", F.col("id").alias("dup_id"), F.col("notified_at").alias("dup_at"))
-    )
-    at = F.col("first_seen_at") if now is None else now
-    met = rows.filter("content_key is not null").select("id", "content_key", at.alias("at")).join(sent, "content_key")
-    met = met.filter((F.col("id") != F.col("dup_id")) & (F.col("dup_at") >= F.col("at") - F.expr(HORIZON)))
-    if now is None:
-        met = met.filter(F.col("dup_at") <= F.col("at"))
+    asked = rows.filter("content_key is not null").select("id", "content_key", F.col("first_seen_at").alias("at"))
+    sent = rows.filter("content_key is not null and notified_at is not null").select("content_key", F.col("id").alias("dup_id"), F.col("notified_at").alias("dup_at"))
+    if now is not None:
+        met = asked.join(_two_earliest(sent.filter(F.col("dup_at") >= now - F.expr(HORIZON)), "content_key"), "content_key").filter("id != dup_id")
+    else:
+        fortnight = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (14 * 86400)).cast("long")
+        near = asked.withColumn("period", F.explode(F.array(fortnight(F.col("at")), fortnight(F.col("at")) - 1)))
+        met = near.join(_two_earliest(sent, "content_key", "dup_at").withColumn("period", fortnight(F.col("dup_at"))), ["content_key", "period"])
+        met = met.filter((F.col("id") != F.col("dup_id")) & (F.col("dup_at") <= F.col("at")) & (F.col("dup_at") >= F.col("at") - F.expr(HORIZON)))
     return met.groupBy("id").agg(F.min(F.struct("dup_at", "dup_id")).alias("m")).select("id", F.col("m.dup_id").alias("duplicate_of"))
 
 

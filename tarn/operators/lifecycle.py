@@ -139,7 +139,7 @@ def screened(rows: DataFrame, config: Config, judge: Column | None = None) -> Da
 def outbox(rows: DataFrame, now: Column) -> DataFrame:
     """id, page_id, duplicate_of, send for the queued rows of one run: the oldest NOTIFY of a page; a row is
     suppressed if its content was sent within the horizon or comes earlier in this run."""
-    queued = batch_cap(rows.filter("pending_notify and notified_at is null"), NOTIFY)
+    queued = batch_cap(rows.filter("pending_notify and notified_at is null").select("id", "page_id", "content_key", "first_seen_at"), NOTIFY)
     dup = duplicates(rows.select("id", "content_key", "first_seen_at", "notified_at"), now)
     out = queued.join(dup, "id", "left").withColumn("first", first_of_batch(queued))
     return out.select("id", "page_id", "duplicate_of", (F.col("duplicate_of").isNull() & F.col("first")).alias("send"))
