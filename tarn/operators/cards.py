@@ -22,6 +22,7 @@ from tarn.functions.url import _canonical
 from tarn.operators.links import anchor_score
 
 _SKIP = frozenset("script style noscript template svg iframe head".split())
+_MOST_LINKS = 6
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CARD = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("href", "title", "text")]))
 
@@ -105,11 +106,15 @@ def _depth(url: str) -> int:
 
 
 def card_links(body: str, base: str) -> list[dict]:
-    """href, title and text of the cards of a page; the innermost group decides where groups nest."""
+    """href, title and text of the cards of a page. Where groups nest, the outer one decides, unless its
+    elements have more links of their own than a card would."""
     if "<" not in body:
         return []
     found: dict[str, dict] = {}
+    inside_card: set[int] = set()
     for parent in tree(body).walk():
+        if id(parent) in inside_card:
+            continue
         groups: dict[tuple, list[Element]] = defaultdict(list)
         for child in parent.children:
             if child.tag != "a":
@@ -126,6 +131,10 @@ def card_links(body: str, base: str) -> list[dict]:
                         own.setdefault(url, e)
                 links.append(own)
             met = Counter(url for own in links for url in own)
+            alone = sorted(sum(met[url] == 1 for url in own) for own in links)
+            if not 0 < alone[len(alone) // 2] <= _MOST_LINKS:
+                continue
+            inside_card.update(id(e) for card in cards for e in card.walk())
             for card, own in zip(cards, links):
                 heading = next((e for e in card.walk() if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), None)
                 mine = {url: e for url, e in own.items() if met[url] == 1}

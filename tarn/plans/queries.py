@@ -108,7 +108,7 @@ _ANCHOR = r"""'(?is)<a\b(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'"""
 _DECODED = "replace(replace(replace(replace(replace({0}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')"
 _ANCHORS_SQL = rf"""
 anchors AS (
-  SELECT page_id, url, i AS link_id, {_DECODED.format("hrefs[i]")} AS href, regexp_replace(regexp_replace(texts[i], '<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text
+  SELECT page_id, url, i AS link_id, {_DECODED.format("hrefs[i]")} AS href, regexp_replace(regexp_replace(regexp_replace(texts[i], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text
   FROM (SELECT page_id, url, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS i
         FROM (SELECT page_id, url, regexp_extract_all(html, {_ANCHOR}, 1) AS hrefs, regexp_extract_all(html, {_ANCHOR}, 2) AS texts FROM pages)))
 """

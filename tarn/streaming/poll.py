@@ -24,8 +24,11 @@ STATE = (
 )
 
 
-def run_batch(state: DataFrame, crawl: DataFrame, now: Column, config: Config, judge: Column | None = None) -> DataFrame:
-    """The postings after one run.
+def run_batch(
+    state: DataFrame, crawl: DataFrame, now: Column, config: Config, judge: Column | None = None, cut: Callable[[DataFrame], DataFrame] = DataFrame.persist
+) -> DataFrame:
+    """The postings after one run. cut: what is done to the two intermediate tables that are read several
+    times; they are persisted, and made anew where an executor that held them is lost.
 
     crawl: page_id, pos, dedupe_key, title, company, location, compensation, url, link_source, link_note,
     link_score, first_crawl_done. Rows are keyed, upserted, screened and sent, in this order.
@@ -37,12 +40,13 @@ def run_batch(state: DataFrame, crawl: DataFrame, now: Column, config: Config, j
         F.lit("none").alias("company_status"), F.lit(False).alias("pending_notify"), F.lit(None).cast("string").alias("duplicate_of"), F.lit(False).alias("keyword_filtered"),
         F.lit(False).alias("negative_keyword_filtered"),
     )
-    rows = upsert(state, new, now)
+    rows = cut(upsert(state, cut(new), now))
     after = screened(rows.withColumn("fallback", F.lit(None).cast("string")), config, judge).drop("page_id")
     changed = [c for c in after.columns if c != "id"]
     rows = rows.join(after.select("id", *[F.col(c).alias(f"new_{c}") for c in changed]), "id")
     touched = F.col("new_filter_status") != F.col("filter_status")
     rows = rows.select(*[c for c in state.columns if c not in changed], *[F.when(touched, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in changed])
+    rows = cut(rows)
     sent = outbox(rows, now).select("id", "send", F.col("duplicate_of").alias("dup"), F.lit(True).alias("queued"))
     rows = rows.join(sent, "id", "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
     return rows.withColumns({
@@ -83,8 +87,15 @@ def start(crawls: DataFrame, state: Versions, config: Config, checkpoint: str, n
     def run(batch: DataFrame, number: int) -> None:
         if number <= state.latest():
             return
-        at = F.lit(now()).cast("timestamp")
-        state.write(run_batch(state.read(), batch, at, config, judge), number)
+        held: list[DataFrame] = []
+
+        def cut(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        state.write(run_batch(state.read(), batch, F.lit(now()).cast("timestamp"), config, judge, cut), number)
+        for df in held:
+            df.unpersist()
 
     writer = crawls.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
