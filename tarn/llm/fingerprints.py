@@ -20,7 +20,7 @@ from tarn.llm.common import text_or_empty
 EQUAL, LIKE, PIECE = 4, 64, 4
 _PIECES = r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,%d}" % PIECE
 _FIELDS, _SLICE = 0x0001000100010001, 32768
-_ROWS = 1024
+_ROWS = 256
 
 
 def _long(x: int) -> Column:
