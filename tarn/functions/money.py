@@ -11,6 +11,7 @@ from tarn.functions.text import strip
 SUB_MONTHLY = r"(?i)\b(per\s+hour|an\s+hour|hourly|/\s*hr|/\s*hour|per\s+day|daily|/\s*day|per\s+week|weekly|/\s*wk|/\s*week)\b"
 MONTHLY = r"(?i)\b(per\s+month|a\s+month|monthly|/\s*mo|/\s*month|pm)\b"
 SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£", "INR": "₹"}
+# Fixed value: an amount with its suffix.
 _AMOUNT = r"(\d[\d,.]*)\s*([kKmM])?"
 
 
@@ -102,6 +103,7 @@ def grouped(amount: Column) -> Column:
     return F.coalesce(F.format_number(amount, 0), F.lit(""))
 
 
+# What shows that a text states pay, what shows that it is a category, and the form of an amount.
 _CATEGORY = r"(?i)\b(non-tech|tech|product|design|engineering|defi|crypto|marketing|sales|finance|operations|full-time|part-time|contract|remote)\b"
 _TERMS = r"(?i)\b(\d+k|\d+k/yr|\d+/hr|hour|hourly|year|yearly|salary|month|monthly|usd|eur|gbp|\d{2,3},\d{3})\b"
 _PRICE = r"([$€£¥₹]\s*\d+[\d,.]*\s*(?:[kK]|(?:/[a-zA-Z]+))?(?:\s*[-–—]\s*[$€£¥₹]?\s*\d+[\d,.]*\s*(?:[kK]|(?:/[a-zA-Z]+))?)?)"

@@ -25,6 +25,9 @@ def legacy_lists(value: Column) -> Column:
     return F.struct(include.alias("include"), F.when(marked, split_tags(never)).otherwise(none).alias("exclude"))
 
 
+# Fixed values in the two functions below: the words that only say that a place does not matter.
+
+
 def says_remote(raw: Column) -> Column:
     return F.coalesce(raw.rlike(r"(?i)\b(remote|remote-friendly|work from anywhere|worldwide|anywhere)\b"), F.lit(False))
 

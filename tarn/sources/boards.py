@@ -14,6 +14,7 @@ from tarn.functions.url import bare_host, first_segment, part
 
 # The hosts whose pages have a board behind them.
 HOSTS = {"greenhouse": "greenhouse.io", "lever": "lever.co", "ashby": "ashbyhq.com", "himalayas": "himalayas.app", "workingnomads": "workingnomads.com"}
+# Fixed values in the readers: the names of the boards' JSON fields.
 _COLUMNS = ("title", "url", "company", "location", "compensation", "posted_text")
 
 
