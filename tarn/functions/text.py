@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: a lambda would evaluate it again for every element it meets."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     """Without white space at both ends, no-break spaces included."""
     return F.regexp_replace(s, f"^{_WIDE_SPACE}+|{_WIDE_SPACE}+$", "")
@@ -133,8 +139,8 @@ def distinct_tags(tags: Column) -> Column:
 
 def kept_tags(claimed: Column, present: Column) -> Column:
     """The claimed tags that are still among those present."""
-    keys = F.transform(split_tags(present), tag_key)
-    return F.filter(F.coalesce(claimed, F.array().cast("array<string>")), lambda t: F.array_contains(keys, tag_key(t)))
+    own = F.coalesce(claimed, F.array().cast("array<string>"))
+    return let(F.transform(split_tags(present), tag_key), lambda keys: F.filter(own, lambda t: F.array_contains(keys, tag_key(t))))
 
 
 def chat_ids(s: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarn.functions import money
-from tarn.functions.text import ascii_text, clean_list, keywords, place_text, strip, terms
+from tarn.functions.text import ascii_text, clean_list, keywords, let, place_text, strip, terms
 
 VERDICT = "struct<verdict: string, summary: string, title_mismatch: string>"
 
@@ -44,8 +44,7 @@ def _array(values: tuple[str, ...]) -> Column:
 
 def blocked_keyword(title: Column, negative: str) -> Column:
     """The first declared keyword that the title contains, or null."""
-    low = F.lower(title)
-    return F.get(F.filter(keywords(F.lit(negative)), lambda k: low.contains(k)), F.lit(0))
+    return let(F.lower(title), lambda low: F.get(F.filter(keywords(F.lit(negative)), lambda k: low.contains(k)), F.lit(0)))
 
 
 def blocked_verdict(title: Column, keyword: Column) -> Column:
@@ -55,8 +54,8 @@ def blocked_verdict(title: Column, keyword: Column) -> Column:
 
 def title_wanted(title: Column, wanted: str) -> Column:
     """Whether the title contains a keyword; substrings count, and so does a title without any word."""
-    found, text = terms(F.lit(wanted)), ascii_text(title)
-    return (F.size(found) == 0) | (text == "") | F.exists(found, lambda k: text.contains(k))
+    found = terms(F.lit(wanted))
+    return let(ascii_text(title), lambda text: (F.size(found) == 0) | (text == "") | F.exists(found, lambda k: text.contains(k)))
 
 
 def title_verdict(title: Column, wanted: str) -> Column:
@@ -67,13 +66,16 @@ def title_verdict(title: Column, wanted: str) -> Column:
 def location_decision(location: Column, profile: Profile) -> Column:
     """struct<ok, kind, term>: an excluded term beats an included one; an unstated place passes."""
     include, exclude = clean_list(_array(profile.locations_include)), clean_list(_array(profile.locations_exclude))
-    text = place_text(strip(F.coalesce(location, F.lit(""))))
-    hit = F.get(F.filter(exclude, lambda t: text.contains(place_text(t))), F.lit(0))
-    kind = (
-        F.when((F.size(include) == 0) & (F.size(exclude) == 0) | (text == ""), F.lit(None)).when(hit.isNotNull(), "excluded")
-        .when((F.size(include) > 0) & ~F.exists(include, lambda t: text.contains(place_text(t))), "not-included")
-    )
-    return F.struct(kind.isNull().alias("ok"), kind.alias("kind"), F.when(kind == "excluded", hit).alias("term"))
+
+    def decided(text: Column) -> Column:
+        hit = F.get(F.filter(exclude, lambda t: text.contains(place_text(t))), F.lit(0))
+        kind = (
+            F.when((F.size(include) == 0) & (F.size(exclude) == 0) | (text == ""), F.lit(None)).when(hit.isNotNull(), "excluded")
+            .when((F.size(include) > 0) & ~F.exists(include, lambda t: text.contains(place_text(t))), "not-included")
+        )
+        return let(F.struct(kind.alias("kind"), hit.alias("hit")), lambda k: F.struct(k["kind"].isNull().alias("ok"), k["kind"].alias("kind"), F.when(k["kind"] == "excluded", k["hit"]).alias("term")))
+
+    return let(place_text(strip(F.coalesce(location, F.lit("")))), decided)
 
 
 def location_verdict(title: Column, location: Column, decision: Column, profile: Profile) -> Column:
@@ -114,8 +116,8 @@ def is_thin(company: Column, location: Column, compensation: Column) -> Column:
 
 def within_scope(title: Column, roles: str, synonyms: str) -> Column:
     """Whether the title contains a declared role or is contained in one."""
-    known, text = F.concat(terms(F.lit(roles)), terms(F.lit(synonyms))), ascii_text(title)
-    return (F.size(known) == 0) | (text == "") | F.exists(known, lambda k: text.contains(k) | k.contains(text))
+    known = F.concat(terms(F.lit(roles)), terms(F.lit(synonyms)))
+    return let(ascii_text(title), lambda text: (F.size(known) == 0) | (text == "") | F.exists(known, lambda k: text.contains(k) | k.contains(text)))
 
 
 def thin_backstop(verdict: Column, title: Column, company: Column, location: Column, compensation: Column, profile: Profile) -> Column:

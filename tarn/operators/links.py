@@ -9,17 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import norm_text, tokens
+from tarn.functions.text import let, norm_text, tokens
 
 STRONG, MARGIN = 0.6, 0.15
 
 
 def anchor_score(title: Column, anchor: Column) -> Column:
     """The share of the title's words (with repeats) that the anchor has; a little more if it holds the whole title."""
-    own, other = tokens(title), tokens(anchor)
-    share = F.size(F.filter(own, lambda t: F.array_contains(other, t))).cast("double") / F.size(own)
-    whole = (norm_text(title) != "") & norm_text(anchor).contains(norm_text(title))
-    return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).when(whole, F.least(F.lit(1.0), share + 0.15)).otherwise(share)
+
+    def score(s: Column) -> Column:
+        own, other = s["own"], s["other"]
+        share = F.size(F.filter(own, lambda t: F.array_contains(other, t))).cast("double") / F.size(own)
+        whole = (s["title"] != "") & s["anchor"].contains(s["title"])
+        return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).when(whole, F.least(F.lit(1.0), share + 0.15)).otherwise(share)
+
+    sides = (tokens(title).alias("own"), tokens(anchor).alias("other"), norm_text(title).alias("title"), norm_text(anchor).alias("anchor"))
+    return let(F.struct(*sides), score)
 
 
 def scored(titles: DataFrame, anchors: DataFrame) -> DataFrame:
