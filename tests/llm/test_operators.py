@@ -127,6 +127,11 @@ def test_leaked_items(spark, docs, rows, none):
      "Alpha beta gamma delta.\n\nEpsilon zeta eta theta."),
     ("<div class=cookie-banner>We use cookies</div><div class='post-content'><p>Words that matter here.</p><form><p>Your name</p></form><ul><li>a b c<li>d e f</ul></div><aside>More</aside>", "Words that matter here.\n\na b c\n\nd e f"),
     ("<article><p>unclosed <b>bold <i>text here", "unclosed bold text here"),
+    ('<article><p class="x>Lost in the value">Kept words of a page</p><p title="stray>and the end', "Kept words of a page\n\nand the end"),
+    ("<main><h1>Title words</h1><div class='byline share'>Tweet</div><p>Some text with a <a href='/x'>link in it</a>.</p><section id=comment-list><p>Nice post, thanks</p></section></main><div role=contentinfo>All rights reserved</div>",
+     "Title words\n\nSome text with a link in it."),
+    ("<body><div role='alert'>Outage today</div><div id=content><p>Line one of the text.</p><table><tr><td>Cell a</td><td>Cell b</td></tr></table><pre>x\n  y</pre></div><div id=sidebar><p>Popular now</p></div><div class=newsletter-signup><p>Get mail from us</p></div></body>",
+     "Line one of the text.\n\nCell a\n\nCell b\n\nx y"),
 ])
 def test_main_text(page, text):
     assert html_text.main_text(page) == text
