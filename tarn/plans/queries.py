@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import dates, display, html, money, place, text, url
-from tarn.operators import companies, gates, identity, lifecycle, links
+from tarn.operators import companies, gates, identity, lifecycle, links, registry
 from tarn.plans import listing
 from tarn.plans.tables import POSTINGS_SQL, SOURCES_SQL, postings, sources, table
 from tarn.sources import attempts, boards, feeds
@@ -650,6 +650,35 @@ def source_status(spark, sf_dir):
     return sources(spark, sf_dir).select("page_id", display.source_status(F.col("last_error"), F.col("first_crawl_done"), F.lit(False)).alias("status"))
 
 
+def _asked(spark, sf_dir):
+    """Addresses to watch: some known, some new, some repeated, some no address."""
+    s = sources(spark, sf_dir)
+    k = F.col("page_id") % 4
+    return s.select(F.col("page_id").alias("pos"), F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit(" "), "url", F.lit("/new "))).when(k == 2, "https://one.example.com/x").otherwise("no address"))\
+        .toDF("pos", "url")
+
+
+@query("""
+WITH a AS (SELECT page_id AS pos, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '/new' WHEN 2 THEN 'https://one.example.com/x' ELSE 'no address' END AS url FROM sources_v),
+d AS (SELECT DISTINCT url FROM a WHERE url LIKE 'https://%')
+SELECT count(*) FILTER (NOT EXISTS (SELECT 1 FROM sources_v s WHERE s.url = d.url)) AS added, count(*) FILTER (EXISTS (SELECT 1 FROM sources_v s WHERE s.url = d.url)) AS skipped,
+       (SELECT count(*) FROM a WHERE url = 'no address') AS invalid FROM d""", "s")
+def bulk_add_counts(spark, sf_dir):
+    return registry.bulk_add(sources(spark, sf_dir), _asked(spark, sf_dir))[1]
+
+
+@query("""
+WITH f AS (SELECT id, page_id, min(id) OVER (PARTITION BY title, page_id % 7) AS first_id FROM postings_v)
+SELECT p.id, o.id AS duplicate_of FROM f p LEFT JOIN f o ON o.id = p.first_id AND o.page_id % 3 <> 0 WHERE p.page_id % 3 <> 0""", "p")
+def delete_cascade(spark, sf_dir):
+    """Every third page goes, its postings go, and links to them are cut."""
+    alike = Window.partitionBy("title", F.col("page_id") % 7)
+    rows = postings(spark, sf_dir).select("id", "page_id", F.min("id").over(alike).alias("duplicate_of"))
+    gone = rows.select("page_id").filter("page_id % 3 = 0")
+    kept = registry.delete_pages(sources(spark, sf_dir), rows, gone)[1]
+    return kept.select("id", "duplicate_of")
+
+
 # --- display ---------------------------------------------------------------------------------------
 
 _TITLE_KINDS = ("", " (Full-time)", " - Remote", " | Senior", " [Contract] Hybrid", " Lead")
