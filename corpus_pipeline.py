@@ -8,8 +8,8 @@ from tarn.llm import quality
 from tarn.llm.common import materialise, table
 from tarn.llm.decontamination import without_leaks
 from tarn.llm.mixing import mixed
+from tarn.llm.resemblance import one_of_similar
 from tarn.llm.sharding import assign_shards
-from tarn.llm.simhash import one_of_each
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles at a similarity of 0.8 or more."""
+    return one_of_similar(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,116 @@
+"""Near duplicates by the share of five-word shingles, the definition of the pipeline's stage.
+
+Two texts are near duplicates when the Jaccard similarity of their sets of WORDS-word shingles is at least
+SIMILARITY. Texts with equal sets are one node. A node's MinHash signature is cut into BANDS bands of ROWS
+values; nodes that agree in a whole band meet in a cell. A pair of similarity 0.8 meets in none with
+probability (1 - 0.8 ** 5) ** 40, which is 1.3e-7. Every link is verified on the whole sets.
+
+Cells are settled in two rounds: first each node against its cell's lowest one, which joins up large groups of
+copies; then all pairs of a cell that are not in one component yet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tarn.llm.common import materialise, small_batches, text_or_empty
+from tarn.llm.components import components
+from tarn.llm.simhash import kept_rows
+
+SEED, WORDS, SIMILARITY = 42, 5, 0.8
+BANDS, ROWS = 40, 5
+_RANDOM = np.random.default_rng(1)
+_ODD = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's shingles, sorted. A text of fewer words is one shingle; one of none has none."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.empty(0, dtype=np.uint64)
+    runs = zip(*(tokens[i:] for i in range(words))) if len(tokens) > words else [tokens]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in runs), dtype=np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The hash of each band of the signature of a set, its number included."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(found), 1024):
+        least = np.minimum(least, (found[None, low : low + 1024] * _ODD + _PLUS).min(axis=1))
+    whole = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(whole)], dtype=np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+        node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), dtype=np.uint64, count=len(sets))
+        columns = [
+            batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
+            pa.array([bands(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "n", "cells", "shingles"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+        ok = pa.array([similarity(x, y) >= SIMILARITY for x, y in zip(a, b)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: those of the pairs that are similar enough."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")).hint("shuffle_merge")
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v")
+    return both.mapInArrow(_verified, "u long, v long")
+
+
+def _close() -> Column:
+    """Sets whose sizes differ by more cannot be similar enough."""
+    return F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """node and low, the least (null id last, doc_id, th: a hash of the text) of its component."""
+    small_batches(docs.sparkSession)
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty()).alias("th"))
+    marked = materialise(hashed.mapInArrow(_marked, "doc_id long, th long, node long, n int, cells array<long>, shingles binary"), "shingles")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    nodes = marked.groupBy("node").agg(low.alias("low"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    met = nodes.select("node", "n", F.explode("cells").alias("cell"))
+    leads = met.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    met = materialise(met.join(leads.select("cell", "lead"), "cell").select("cell", "node", "n", "lead"), "cells")
+    needed = met.select("node").distinct()
+    sets = materialise(marked.join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    stars = met.select(F.col("lead.node").alias("u"), F.col("node").alias("v"), "n", F.col("lead.n").alias("m")).filter("u != v").filter(_close())
+    links = materialise(_links(stars.select("u", "v").distinct(), sets), "stars")
+    joined = components(links)
+    rooted = met.join(joined.select("node", "root"), "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"), F.col("lead.node").alias("lead"))
+    open_ = rooted.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("cell")
+    left = materialise(rooted.join(open_, "cell", "left_semi"), "open")
+    others = left.select("cell", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
+    pairs = left.withColumnRenamed("node", "u").join(others.hint("shuffle_merge"), "cell").filter("u < v and root != other and u != lead").filter(_close())
+    more = _links(pairs.select("u", "v").distinct(), sets)
+    stars = components(links.unionByName(more))
+    roots = nodes.select("node", "low").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = roots.groupBy("root").agg(F.min("low").alias("low"))
+    return roots.select("node", "root").join(lowest, "root").select("node", "low")
+
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each group of near duplicates: that of the lowest doc_id (see simhash.one_of_each)."""
+    return kept_rows(docs, similar_groups(docs))

@@ -194,7 +194,11 @@ def near_duplicates(docs: DataFrame, bits: int = 2, cell_rows: int = CELL) -> Da
 def one_of_each(docs: DataFrame, bits: int = 2, cell_rows: int = CELL) -> DataFrame:
     """docs, all columns, with one row of each component: that of the lowest doc_id (of rows equal in id,
     that of the lowest hash of the text; of rows equal in both, any)."""
-    _, groups = _named(docs, bits, cell_rows)
+    return kept_rows(docs, _named(docs, bits, cell_rows)[1])
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that are the lowest (column low) of groups, one each."""
     key = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"))
     whole = lambda k: [F.col(f"{k}.none").alias("__none"), F.coalesce(F.col(f"{k}.doc_id"), F.lit(0)).alias("__d"), F.col(f"{k}.th").alias("__th")]
     names = ["__none", "__d", "__th"]
