@@ -3,7 +3,8 @@
 Two texts are near duplicates when the Jaccard similarity of their sets of WORDS-word shingles is at least
 SIMILARITY. Texts with equal sets are one node. A node's MinHash signature is cut into BANDS bands of ROWS
 values; nodes that agree in a whole band meet in a cell. A pair of similarity 0.8 meets in none with
-probability (1 - 0.8 ** 5) ** 40, which is 1.3e-7. Every link is verified on the whole sets.
+probability (1 - 0.8 ** 5) ** 40, which is 1.3e-7. Pairs whose signatures agree in fewer than AGREE of their
+values (seven standard deviations below 0.8) are discarded; every link is verified on the whole sets.
 
 Cells are settled in two rounds: first each node against its cell's lowest one, which joins up large groups of
 copies; then all pairs of a cell that are not in one component yet.
@@ -25,6 +26,9 @@ from tarn.llm.simhash import kept_rows
 
 SEED, WORDS, SIMILARITY = 42, 5, 0.8
 BANDS, ROWS = 40, 5
+AGREE = 0.6 * BANDS * ROWS
+#: Bits of the map of nodes whose sets are wanted; it only keeps most others from being shuffled.
+MAP_BITS = 24
 _RANDOM = np.random.default_rng(1)
 _ODD = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -39,12 +43,16 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in runs), dtype=np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """The hash of each band of the signature of a set, its number included."""
+def signature(found: np.ndarray) -> np.ndarray:
+    """The least values of a set under BANDS * ROWS permutations, a row for each band."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for low in range(0, len(found), 1024):
         least = np.minimum(least, (found[None, low : low + 1024] * _ODD + _PLUS).min(axis=1))
-    whole = least.reshape(BANDS, ROWS)
+    return least.reshape(BANDS, ROWS)
+
+
+def bands(whole: np.ndarray) -> np.ndarray:
+    """The hash of each band of a signature, its number included."""
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(whole)], dtype=np.uint64).view(np.int64)
 
 
@@ -58,11 +66,14 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
         node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), dtype=np.uint64, count=len(sets))
+        signs = [signature(s) for s in sets]
         columns = [
             batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
-            pa.array([bands(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()),
+            pa.array([bands(x) if len(s) else [] for x, s in zip(signs, sets)], pa.list_(pa.int64())),
+            pa.array([(x & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in signs], pa.binary()),
+            pa.array([s.tobytes() for s in sets], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "n", "cells", "shingles"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "n", "cells", "signature", "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +83,36 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
+        ok = pa.array((a == b).sum(axis=1) >= AGREE)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+
+
+def _wanted(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+            yield batch.filter(pa.array((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
+
+    return run
+
+
+def _links(pairs: DataFrame, marked: DataFrame, signatures: DataFrame) -> DataFrame:
     """u, v: those of the pairs that are similar enough."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")).hint("shuffle_merge")
-    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "of_u", "of_v")
-    return both.mapInArrow(_verified, "u long, v long")
+    side = lambda df, k, c: df.select(F.col("node").alias(k), F.col(c).alias(f"of_{k}")).hint("shuffle_merge")
+    both = lambda df, some, c: some.join(side(df, "u", c), "u").join(side(df, "v", c), "v").select("u", "v", "of_u", "of_v")
+    some = materialise(both(signatures, pairs, "signature").mapInArrow(_agreeing, "u long, v long"), "candidates")
+    at = F.explode(F.array("u", "v")).alias("node")
+    place = F.shiftright(F.col("node").bitwiseAND((1 << MAP_BITS) - 1), 6).alias("place")
+    bit = F.expr("bit_or(shiftleft(1L, cast(node & 63 as int)))").alias("bit")
+    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    rows = some.select(at).groupBy(place).agg(bit).toPandas()
+    bits[rows["place"].to_numpy(dtype=np.int64)] = rows["bit"].to_numpy(dtype=np.int64)
+    sets = marked.select("node", "shingles").mapInArrow(_wanted(bits.view(np.uint64)), "node long, shingles binary")
+    sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return materialise(both(sets, some, "shingles").mapInArrow(_verified, "u long, v long"), "similar")
 
 
 def _close() -> Column:
@@ -88,23 +124,22 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """node and low, the least (null id last, doc_id, th: a hash of the text) of its component."""
     small_batches(docs.sparkSession)
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty()).alias("th"))
-    marked = materialise(hashed.mapInArrow(_marked, "doc_id long, th long, node long, n int, cells array<long>, shingles binary"), "shingles")
+    marked = materialise(hashed.mapInArrow(_marked, "doc_id long, th long, node long, n int, cells array<long>, signature binary, shingles binary"), "shingles")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     nodes = marked.groupBy("node").agg(low.alias("low"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     met = nodes.select("node", "n", F.explode("cells").alias("cell"))
     leads = met.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     met = materialise(met.join(leads.select("cell", "lead"), "cell").select("cell", "node", "n", "lead"), "cells")
-    needed = met.select("node").distinct()
-    sets = materialise(marked.join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    signatures = marked.groupBy("node").agg(F.first("signature").alias("signature"))
     stars = met.select(F.col("lead.node").alias("u"), F.col("node").alias("v"), "n", F.col("lead.n").alias("m")).filter("u != v").filter(_close())
-    links = materialise(_links(stars.select("u", "v").distinct(), sets), "stars")
+    links = _links(stars.select("u", "v").distinct(), marked, signatures)
     joined = components(links)
     rooted = met.join(joined.select("node", "root"), "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"), F.col("lead.node").alias("lead"))
     open_ = rooted.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("cell")
     left = materialise(rooted.join(open_, "cell", "left_semi"), "open")
     others = left.select("cell", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
     pairs = left.withColumnRenamed("node", "u").join(others.hint("shuffle_merge"), "cell").filter("u < v and root != other and u != lead").filter(_close())
-    more = _links(pairs.select("u", "v").distinct(), sets)
+    more = _links(pairs.select("u", "v").distinct(), marked, signatures)
     stars = components(links.unionByName(more))
     roots = nodes.select("node", "low").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("low"))
