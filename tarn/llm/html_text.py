@@ -63,7 +63,8 @@ _SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
 
 class Piece(NamedTuple):
-    """A run of words in one place, or a tag (words 0); part: what its place is for; block: its number."""
+    """A run of words in one place, or a tag (words 0); part: what its place is for; block: its number;
+    within: it stands in a part that is never content, which itself stands in an article."""
 
     words: int
     text: str
@@ -71,6 +72,7 @@ class Piece(NamedTuple):
     link: bool
     tag: str
     block: int
+    within: bool = False
 
 
 @cache
@@ -100,15 +102,15 @@ def _part(name: str, rest: str) -> str:
 def pieces(page: str) -> list[Piece]:
     """The page's words and tags in order. Scripts, styles and the like, and comments, are left out."""
     out: list[Piece] = []
-    stack: list[tuple[str, str]] = []
-    block, at, part, links = 0, 0, "", 0
+    stack: list[tuple[str, str, bool]] = []
+    block, at, part, links, within = 0, 0, "", 0, False
 
     def text(low: int, high: int) -> None:
         if low < high:
             plain = html.unescape(page[low:high])
             n = len(plain.split())
             if n or plain:
-                out.append(Piece(n, plain, part, links > 0, "", block))
+                out.append(Piece(n, plain, part, links > 0, "", block, within))
 
     for m in _TOKEN.finditer(page):
         text(at, m.start())
@@ -119,30 +121,30 @@ def pieces(page: str) -> list[Piece]:
         if name in BLOCK:
             block += 1
         elif name == "br":
-            out.append(Piece(0, " ", part, links > 0, "br", block))
+            out.append(Piece(0, " ", part, links > 0, "br", block, within))
             continue
-        out.append(Piece(0, "", part, links > 0, ("/" if m["close"] else "") + name, block))
+        out.append(Piece(0, "", part, links > 0, ("/" if m["close"] else "") + name, block, within))
         if m["close"]:
-            if any(x == name for x, _ in stack):
+            if any(x == name for x, *_ in stack):
                 while stack[-1][0] != name:
                     stack.pop()
                 stack.pop()
         elif name not in VOID and not m["rest"].endswith("/"):
             if name in _SELF_CLOSING and stack and stack[-1][0] == name:
                 stack.pop()
-            elif name == "p" and any(x == "p" for x, _ in stack[-4:]):
+            elif name == "p" and any(x == "p" for x, *_ in stack[-4:]):
                 while stack.pop()[0] != "p":
                     pass
             own = _part(name, m["rest"]) if m["rest"] or name in OUT_TAGS or name in IN_TAGS or name == "header" else ""
-            above = stack[-1][1] if stack else ""
+            _, above, inside = stack[-1] if stack else ("", "", False)
             # What is never content stays so all the way down. A header inside an article is its title.
             if above not in ("", "article"):
                 own = above
             elif own == "head" and above == "article":
                 own = "article"
-            stack.append((name, own or above))
-        part = stack[-1][1] if stack else ""
-        links = sum(1 for x, _ in stack if x == "a")
+            stack.append((name, own or above, inside or (above == "article" and own not in ("", "article"))))
+        _, part, within = stack[-1] if stack else ("", "", False)
+        links = sum(1 for x, *_ in stack if x == "a")
     text(at, len(page))
     return out
 
@@ -190,7 +192,10 @@ WEIGHTS = learned()
 
 def score(piece: Piece, weights: dict[tuple, float] = WEIGHTS) -> float:
     """The total of a piece's words, or the tag's score. Words stay positive and tags negative, except for
-    words in parts that are never content and in links outside of an article."""
+    words in parts that are never content and in links outside of an article. Such a part inside of an article
+    counts nothing: it is left out of the region anyway, and what stands before and after it belongs together."""
+    if piece.within:
+        return 0.0
     value = weights.get(kind(piece))
     if value is None:
         value = -0.5 if not piece.words or piece.part not in ("", "article") else 0.5
