@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from tarn.llm.common import small_batches, text_or_empty
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
 #: An item counts as leaked when this share of its tokens is found in place,
 SIMILARITY = 0.8
+_SHARE = Fraction(SIMILARITY).limit_denominator(1000)
 #: or when a stretch of at least so many tokens of it is, at that share.
 STRETCH = 25
 #: Tokens of test items that one pass over the documents holds; a larger benchmark takes several passes.
@@ -119,19 +121,27 @@ class Index:
 
 
 def verified(same: np.ndarray, n: int) -> tuple[int, int] | None:
-    """(matched, aligned) if an alignment of an item of n tokens counts as a leak, else None."""
+    """(matched, aligned) if an alignment of an item of n tokens counts as a leak, else None: the whole item,
+    or else of all stretches of STRETCH tokens or more at the share asked for the one with the most matched
+    tokens, the shortest of equals."""
     matched = int(same.sum())
-    if matched >= SIMILARITY * n:
+    if matched * _SHARE.denominator >= _SHARE.numerator * n:
         return matched, n
-    if n <= STRETCH or matched < SIMILARITY * STRETCH:
+    if len(same) < STRETCH or matched < SIMILARITY * STRETCH:
         return None
-    # The stretch of the largest score, where a match earns what a mismatch costs at the share asked for.
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - SIMILARITY, -SIMILARITY))])
-    lowest = np.minimum.accumulate(score)
-    end = int(np.argmax(score - lowest))
-    start = int(np.argmin(score[: end + 1]))
-    hit = int(same[start:end].sum())
-    return (hit, end - start) if end - start >= STRETCH else None
+    # A match earns what a mismatch costs at the share, so a stretch has the share when its total is not negative.
+    total = np.concatenate([[0], np.cumsum(np.where(same, _SHARE.denominator - _SHARE.numerator, -_SHARE.numerator))])
+    ends = np.arange(STRETCH, len(total))
+    # For each end the first start whose total is no higher; a longer stretch has no fewer matches.
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total[ends])
+    ok = ends - starts >= STRETCH
+    if not ok.any():
+        return None
+    ends, starts = ends[ok], starts[ok]
+    count = np.concatenate([[0], np.cumsum(same)])
+    hits = count[ends] - count[starts]
+    best = np.lexsort((ends - starts, -hits))[0]
+    return int(hits[best]), int(ends[best] - starts[best])
 
 
 def test_blocks(items: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
