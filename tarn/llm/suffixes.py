@@ -19,12 +19,17 @@ string starts is found in three steps.
    bytes' hashes; its windows that are alone in their block are then compared across blocks by digest.
 
 Identity of segments and of windows across blocks rests on the anchor's and a second hash, 128 bits.
+
+Beside the bytes, passages of PASSAGE words that also start anywhere else are found, whatever their bytes and
+the white space between words. They take the same way, over words for bytes; the windows of unequal segments
+with one anchor are compared by digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +40,22 @@ from pyspark.sql import functions as F
 from tarn.llm.common import materialise, small_batches, text_or_empty
 
 LENGTH, GRAM = 400, 144
+PASSAGE, WORD_GRAM = 50, 12
 #: Bytes of segments in a block, and of text that is hashed at once.
 BLOCK_BYTES, PIECE_BYTES = 1 << 19, 1 << 20
 STEP = 8
+
+
+class Unit(NamedTuple):
+    """What windows are made of: bytes a symbol, symbols a window, symbols a gram, and what tells anchors of units apart."""
+
+    size: int
+    length: int
+    gram: int
+    salt: int
+
+
+BYTES, WORDS = Unit(1, LENGTH, GRAM, 0), Unit(8, PASSAGE, WORD_GRAM, 0x5BD1E995)
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -45,21 +63,35 @@ _ODD = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.u
 # --- anchors ---------------------------------------------------------------------------------------
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """The hash of the GRAM bytes from each position on, by doubling."""
-    h, m, k = _TABLE[raw], 1, 0
-    while 2 * m <= GRAM:
+class _Known(dict):
+    """The hash of each word, kept for the next time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def as_words(text: bytes, known: _Known) -> bytes:
+    """The hashes of a text's words, eight bytes each."""
+    return np.fromiter(map(known.__getitem__, text.split()), dtype=np.uint64).tobytes()
+
+
+def gram_hashes(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """The hash of the gram of symbols from each position on, by doubling. h: each symbol's hash."""
+    m, k = 1, 0
+    while 2 * m <= gram:
         h = h[:-m] * _ODD[k] + (h[m:] ^ (h[m:] >> np.uint64(31)))
         m, k = 2 * m, k + 1
-    rest = GRAM - m
+    rest = gram - m
     if rest:
         h = h[:-rest] * _ODD[k] + (h[rest:] ^ (h[rest:] >> np.uint64(31)))
     return (h ^ (h >> np.uint64(29))) * _ODD[15]
 
 
-def window_anchors(h: np.ndarray) -> np.ndarray:
-    """For each window of LENGTH bytes the position of its leftmost least gram."""
-    grams = LENGTH - GRAM + 1
+def window_anchors(h: np.ndarray, grams: int = LENGTH - GRAM + 1) -> np.ndarray:
+    """For each window, so many grams, the position of its leftmost least gram."""
     best, at, m = h, np.arange(len(h), dtype=np.int32), 1
     while 2 * m <= grams:
         left = best[:-m] <= best[m:]
@@ -71,8 +103,8 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     return at
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, anchor hash, segment hash, n) of all segments of the texts.
+def segments(texts: list[bytes], unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, anchor hash, segment hash, n) of all segments of the texts, in symbols.
 
     n is how often the segment's bytes occur in what was hashed at once: 1, or for the first of equals
     their number. Windows of such equals come as further rows with n = 0, neighbours joined.
@@ -83,17 +115,17 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     def flush() -> None:
         if not held:
             return
-        lengths = np.array([len(x) for _, _, x in held])
+        lengths = np.array([len(x) // unit.size for _, _, x in held])
         starts = np.cumsum(lengths) - lengths
         whole = b"".join(x for _, _, x in held)
         held_texts, offsets = np.array([i for i, _, _ in held]), np.array([o for _, o, _ in held])
         held.clear()
-        if len(whole) < LENGTH:
+        if len(whole) < unit.length * unit.size:
             return
-        h = gram_hashes(np.frombuffer(whole, dtype=np.uint8))
-        at = window_anchors(h)
+        h = gram_hashes(_TABLE[np.frombuffer(whole, dtype=np.uint8)] if unit.size == 1 else np.frombuffer(whole, dtype=np.uint64), unit.gram)
+        at = window_anchors(h, unit.length - unit.gram + 1)
         owner = np.repeat(np.arange(len(lengths)), lengths)[: len(at)]
-        valid = np.arange(len(at)) + LENGTH <= (starts + lengths)[owner]
+        valid = np.arange(len(at)) + unit.length <= (starts + lengths)[owner]
         at = np.where(valid, at, -1)
         change = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         low, high = change, np.r_[change[1:], len(at)] - 1
@@ -101,8 +133,9 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         low, high = low[keep], high[keep]
         own = owner[low]
         shift = offsets[own] - starts[own]
-        digest = np.fromiter((xxhash.xxh3_64_intdigest(whole[a : b + LENGTH]) for a, b in zip(low.tolist(), high.tolist())), dtype=np.uint64, count=len(low))
-        anchor = h[at[low]]
+        cuts = zip((low * unit.size).tolist(), ((high + unit.length) * unit.size).tolist())
+        digest = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in cuts), dtype=np.uint64, count=len(low))
+        anchor = h[at[low]] ^ np.uint64(unit.salt)
         order = np.lexsort((low, digest, anchor))
         same = np.r_[False, (anchor[order][1:] == anchor[order][:-1]) & (digest[order][1:] == digest[order][:-1])]
         first = np.flatnonzero(~same)
@@ -120,13 +153,13 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             zero = np.zeros(len(head), dtype=np.int64)
             out.append((held_texts[own][head], (low + shift)[head], (high + shift)[tail], zero, zero, zero))
 
-    size = 0
+    size, most = 0, PIECE_BYTES // unit.size
     for i, text in enumerate(texts):
         # A long text is cut into pieces that overlap, so that each window is in one of them.
-        for o in range(0, max(1, len(text) - LENGTH + 1), PIECE_BYTES):
-            piece = text[o : o + PIECE_BYTES + LENGTH - 1]
-            if len(piece) >= LENGTH:
-                if size + len(piece) > PIECE_BYTES + LENGTH:
+        for o in range(0, max(1, len(text) // unit.size - unit.length + 1), most):
+            piece = text[o * unit.size : (o + most + unit.length - 1) * unit.size]
+            if len(piece) >= unit.length * unit.size:
+                if size + len(piece) > PIECE_BYTES + unit.length * unit.size:
                     flush()
                     size = 0
                 held.append((i, o, piece))
@@ -138,11 +171,15 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["d", "th", "low", "high", "anchor", "seg", "n"]
+    names = ["d", "th", "low", "high", "anchor", "seg", "n", "words"]
+    known = _Known()
     for batch in batches:
-        text, low, high, anchor, seg, n = segments(batch.column(2).to_pylist())
-        d, th = (batch.column(k).to_numpy(zero_copy_only=False)[text] for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in (d, th, low, high, anchor, seg, n)], names)
+        texts = batch.column(2).to_pylist()
+        for unit in (BYTES, WORDS):
+            text, low, high, anchor, seg, n = segments(texts if unit is BYTES else [as_words(t, known) for t in texts], unit)
+            d, th = (batch.column(k).to_numpy(zero_copy_only=False)[text] for k in (0, 1))
+            columns = [pa.array(np.asarray(x, dtype=np.int64)) for x in (d, th, low, high, anchor, seg, n)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(d), unit is WORDS))], names)
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------
@@ -269,13 +306,14 @@ def _solve(block: pa.Table) -> pa.Table:
 
 # --- the operator ----------------------------------------------------------------------------------
 
-_SLICE = "block long, anchor long, alone boolean, spread boolean, d long, th long, low long, bytes binary"
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long, kept binary"
+_SLICE = "block long, anchor long, alone boolean, spread boolean, d long, th long, low long, bytes binary, digest long"
 
 
 def chunks(segment: bytes, step: int = STEP) -> list[tuple[int, int, int]]:
     """(first window, last window, key) of the chunks of a segment; windows that are equal are in chunks
     of one key, in whatever segment of the group they are."""
-    h = gram_hashes(np.frombuffer(segment, dtype=np.uint8))
+    h = gram_hashes(_TABLE[np.frombuffer(segment, dtype=np.uint8)])
     anchor, last = int(np.argmin(h[: LENGTH - GRAM + 1])), len(segment) - LENGTH
     out = []
     for c in range((anchor - last) // step, anchor // step + 1):
@@ -290,52 +328,71 @@ def chunks(segment: bytes, step: int = STEP) -> list[tuple[int, int, int]]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of wanted segments; of those of large groups in chunks, with the chunk's key for anchor."""
+    """The bytes of wanted segments; of those of large groups in chunks, with the chunk's key for anchor. Of
+    segments of words a row with the digest of every window; without a place if the segment is known to repeat."""
     names = [x.split()[0] for x in _SLICE.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    known = _Known()
     for batch in batches:
         rows = []
         for d, th, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            words = as_words(text, known) if any(w["words"] for w in wanted) else b""
             for w in wanted:
+                if w["words"]:
+                    for i in range(w["low"], w["high"] + 1):
+                        digest = xxhash.xxh3_64_intdigest(words[8 * i : 8 * (i + PASSAGE)], 1)
+                        place = (d, th, i) if w["alone"] else (None, None, None)
+                        rows.append((None, w["anchor"], w["alone"], None, *place, None, digest - ((digest >> 63) << 64)))
+                    continue
                 part = text[w["low"] : w["high"] + LENGTH]
                 if w["spread"]:
                     for low, high, key in chunks(part):
-                        rows.append((None, key ^ w["anchor"], w["alone"], True, d, th, w["low"] + low, part[low : high + LENGTH]))
+                        rows.append((None, key ^ w["anchor"], w["alone"], True, d, th, w["low"] + low, part[low : high + LENGTH], None))
                 else:
-                    rows.append((w["block"], w["anchor"], w["alone"], False, d, th, w["low"], part))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 8, types)], names)
+                    rows.append((w["block"], w["anchor"], w["alone"], False, d, th, w["low"], part, None))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 9, types)], names)
+
+
+def _covered(spans: list, length: int, size: int) -> np.ndarray:
+    """Whether each of `size` symbols is covered by a window of the spans."""
+    marks = np.zeros(size + 1, dtype=np.int32)
+    if spans:
+        at = np.array([(s["low"], s["high"] + length) for s in spans])
+        np.add.at(marks, at[:, 0], 1)
+        np.add.at(marks, at[:, 1], -1)
+    return np.cumsum(marks)[:size] > 0
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc_id, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            marks = np.zeros(len(text) + 1, dtype=np.int32)
-            if spans:
-                at = np.array([(s["low"], s["high"] + LENGTH) for s in spans])
-                np.add.at(marks, at[:, 0], 1)
-                np.add.at(marks, at[:, 1], -1)
-            gone = np.cumsum(marks)[: len(text)] > 0
-            kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if spans else text
-            out.append((doc_id, len(text), int(gone.sum()), len(runs(gone)), hashlib.sha256(kept).hexdigest(), kept))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 6, types)], names)
+            spans = spans or []
+            gone = _covered([s for s in spans if not s["words"]], LENGTH, len(text))
+            passages = [s for s in spans if s["words"]]
+            said = _covered(passages, PASSAGE, max((s["high"] + PASSAGE for s in passages), default=0))
+            kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if gone.any() else text
+            out.append((doc_id, len(text), int(gone.sum()), len(runs(gone)), hashlib.sha256(kept).hexdigest(), int(said.sum()), len(runs(said)), kept))
+        names = [x.split()[0] for x in _OUT.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * len(types), types)], names)
 
 
 def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """d, th, low, high: stretches of windows that also start elsewhere. docs: d, th, bytes; d and th name
-    a document by its id and text, and rows that agree in both are copies of each other."""
-    every = materialise(docs.mapInArrow(_segment_rows, "d long, th long, low long, high long, anchor long, seg long, n long"), "segments")
-    rows, settled = every.filter("n > 0"), every.filter("n = 0").select("d", "th", "low", "high")
+    """d, th, low, high, words: stretches of windows that also start elsewhere, of bytes or of words. docs: d,
+    th, bytes; d and th name a document by its id and text, and rows that agree in both are copies of each other."""
+    schema = "d long, th long, low long, high long, anchor long, seg long, n long, words boolean"
+    place = ["d", "th", "low", "high", "words"]
+    every = materialise(docs.mapInArrow(_segment_rows, schema), "segments")
+    rows, settled = every.filter("n > 0"), every.filter("n = 0").select(place)
     common = rows.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     met = materialise(rows.join(common.hint("shuffle_merge"), "anchor", "left_semi"), "met")
-    one = F.min(F.struct("d", "th", "low", "high")).alias("one")
+    one = F.min(F.struct(place)).alias("one")
     distinct = materialise(met.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), one), "distinct")
     again = distinct.filter("n > 1").select("anchor", "seg")
-    whole = met.filter("n = 1").join(again.hint("shuffle_merge"), ["anchor", "seg"], "left_semi").select("d", "th", "low", "high")
+    whole = met.filter("n = 1").join(again.hint("shuffle_merge"), ["anchor", "seg"], "left_semi").select(place)
 
-    width = F.col("one.high") - F.col("one.low") + LENGTH
+    width = F.when(F.col("one.words"), 0).otherwise(F.col("one.high") - F.col("one.low") + LENGTH)
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(width).alias("size")).filter("k > 1")
     blocks = max(1, -(-(groups.agg(F.sum("size")).first()[0] or 0) // block_bytes))
     large = F.col("size") > 2 * block_bytes
@@ -343,25 +400,30 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     wanted = (
         distinct.join(groups.hint("shuffle_merge"), "anchor")
         .select("one.*", "anchor", block.alias("block"), (F.col("n") == 1).alias("alone"), large.alias("spread"))
-        .groupBy("d", "th").agg(F.collect_list(F.struct("low", "high", "anchor", "block", "alone", "spread")).alias("wanted"))
+        .groupBy("d", "th").agg(F.collect_list(F.struct("low", "high", "anchor", "block", "alone", "spread", "words")).alias("wanted"))
     )
     slices = docs.join(wanted.hint("shuffle_merge"), ["d", "th"]).select("d", "th", "bytes", "wanted").mapInArrow(_slices, _SLICE)
     slices = materialise(slices, "slices")
-    cut = slices.filter("spread").drop("block", "spread")
+    segment = slices.filter("digest is null").drop("digest")
+    cut = segment.filter("spread").drop("block", "spread")
     sizes = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("bytes")).alias("size")).filter("k > 1")
     own = F.xxhash64("anchor", F.when(large, F.pmod(F.xxhash64("bytes"), F.ceil(F.col("size") / block_bytes))))
     cut = cut.join(sizes.hint("shuffle_merge"), "anchor").select(F.pmod(own, F.lit(blocks)).alias("block"), large.alias("spread"), *cut.columns)
-    whole_groups = slices.filter("not spread").select(cut.columns)
+    whole_groups = segment.filter("not spread").select(cut.columns)
     found = materialise(whole_groups.unionByName(cut).groupBy("block").applyInArrow(_solve, _FOUND), "found")
-    inside = found.filter("digest is null").select("d", "th", "low", "high")
-    spread_rows = found.filter("digest is not null")
-    met_again = spread_rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "digest")
-    across = spread_rows.filter("low is not null").join(met_again.hint("shuffle_merge"), ["anchor", "digest"], "left_semi").select("d", "th", "low", "high")
+    inside = found.filter("digest is null").select("d", "th", "low", "high", F.lit(False).alias("words"))
+    windows = found.filter("digest is not null").select("d", "th", "low", "anchor", "digest", F.lit(False).alias("words"))
+    windows = windows.unionByName(slices.filter("digest is not null").select("d", "th", "low", "anchor", "digest", F.lit(True).alias("words")))
+    met_again = windows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "digest")
+    across = windows.filter("low is not null").join(met_again.hint("shuffle_merge"), ["anchor", "digest"], "left_semi")
+    across = across.select("d", "th", "low", F.col("low").alias("high"), "words")
     return settled.unionByName(whole).unionByName(inside).unionByName(across)
 
 
 def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document; beside
+    them n_passage_words (words covered by PASSAGE words in a row that also start anywhere else) and n_passages
+    (runs of them), which remove nothing.
 
     Null text is empty. Texts under LENGTH bytes keep all. Copies of a document, rows equal in id and text
     included, are elsewhere to each other. Every row gives a row.
@@ -373,6 +435,6 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         F.xxhash64(text_or_empty()).alias("th"),
         text_or_empty().cast("binary").alias("bytes"),
     )
-    spans = repeated_spans(docs.select("d", "th", "bytes"), block_bytes).groupBy("d", "th").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = repeated_spans(docs.select("d", "th", "bytes"), block_bytes).groupBy("d", "th").agg(F.collect_set(F.struct("low", "high", "words")).alias("spans"))
     joined = docs.join(spans.hint("shuffle_merge"), ["d", "th"], "left").select("doc_id", "bytes", "spans")
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(_kept, _OUT)

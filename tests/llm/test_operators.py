@@ -318,6 +318,30 @@ def test_without_repeats(spark, rows, none, block_bytes, piece, monkeypatch):
     assert suffixes.without_repeats(none).count() == 0
 
 
+def passages(texts):
+    size, split = suffixes.PASSAGE, [(t or "").encode().split() for t in texts]
+    met = Counter(tuple(w[i : i + size]) for w in split for i in range(len(w) - size + 1))
+    for w in split:
+        marks = np.zeros(len(w), dtype=bool)
+        for i in range(len(w) - size + 1):
+            if met[tuple(w[i : i + size])] > 1:
+                marks[i : i + size] = True
+        yield int(marks.sum()), len(suffixes.runs(marks))
+
+
+@pytest.mark.parametrize("piece", [suffixes.PIECE_BYTES, 2000])
+def test_passages_of_words(spark, rows, piece, monkeypatch):
+    rng = random.Random(16)
+    passage = [" ".join(word(rng)[:2] for _ in range(n)) for n in (49, 50, 51, 80)]
+    planted = [(600 + 10 * k + i, prose(rng, 30) + " " + p.replace(" ", rng.choice([" ", "\n"])) + " " + prose(rng, 30), "s") for k, p in enumerate(passage) for i in range(3)]
+    every = rows + planted + [(700, "so it goes " * 400, "s"), (701, " ".join(map(str, range(300))), "s")]
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", piece)
+    got = collected(suffixes.without_repeats(frame(spark, every).coalesce(2)), "doc_id", "n_passage_words", "n_passages")
+    assert got == Counter((i, *x) for (i, _, _), x in zip(every, passages([t for _, t, _ in every])))
+    found = {k[0] for k in got if k[1]}
+    assert {610, 620, 630, 700} <= found and not {600, 601, 602, 701} & found
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 
 
