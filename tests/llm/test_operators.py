@@ -395,10 +395,18 @@ def test_language_scores(docs, rows, none):
     assert {r.n_known for r in language_model.language_scores(alone).collect()} == {0}
 
 
-def test_both_trees_are_distributions(spark, docs):
+def grown(spark, docs, common=language_model.COMMON, pairs=1e-3, gain=0.5):
+    """(vocabulary as a dict, tree, spelling, the numbers of each text) of all texts of docs."""
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     vocabulary = language_model.token_counts(texts).cache()
-    tree, spelling = language_model.train(texts, vocabulary, pairs=1e-3, gain=0.5)
+    tree, spelling = language_model.common_tokens(vocabulary, common, gain)
+    numbered = docs.select(F.lit(0).cast("long"), "doc_id", F.lit(False), F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(language_model._numbered(tree.ids), language_model._NUMBERED)
+    language_model.grow(tree, numbered.filter("token is null").select("ids"), pairs, gain)
+    return {bytes(r.token): r.n for r in vocabulary.collect()}, tree, spelling
+
+
+def test_both_trees_are_distributions(spark, docs):
+    _, tree, spelling = grown(spark, docs)
     assert len(tree.pairs) and len(tree.triples) and (tree.left1 < 1).any() and (tree.left2 < 1).any()
     for _, logs in spelling.levels:
         assert np.allclose((10.0 ** logs.astype(float)).sum(axis=1), 1, atol=1e-3)
@@ -413,6 +421,75 @@ def test_both_trees_are_distributions(spark, docs):
     assert (score < 0).all() and np.isfinite(score).all()
 
 
+@pytest.mark.parametrize("common, gain", [(language_model.COMMON, 12.0), (0.002, 1.0)])
+def test_scores_are_those_of_a_plain_model(spark, none, common, gain):
+    """Every row's score, rows without an id or equal in all included, from dictionaries."""
+    rng = random.Random(31)
+    said = prose(rng, 60)
+    texts = [prose(rng, rng.randint(0, 80)) for _ in range(150)] + [prose(rng, 15) + " " + said + " " + prose(rng, 9) for _ in range(6)] + ["x y z " * 30, None]
+    rows = [(i, t, None) for i, t in enumerate(texts)] + [(None, t, None) for t in texts[:40]] + [(3, texts[3], None), (4, texts[9], None), (902, said, None), (907, texts[20], None)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    n, tree, spelling = grown(spark, frame(spark, [r for r in rows if not held(r[0])]), common, gain=gain)
+    long, reach = language_model.LONG, language_model.REACH
+    of = lambda t: [*(t or "").encode().lower().split(), b""]
+    runs = lambda x: [x[i : i + long] for i in range(len(x) - long)]
+    number = lambda x: np.array([tree.ids[t] for t in x], dtype=np.int64)
+    hashes = lambda x: language_model.long_contexts(number(x)).tolist()
+    stands = lambda h, w: min(range(w, w + reach), key=lambda i: (h[i], i))
+
+    def anchors(x):
+        h = hashes(x)
+        return {h[i] for i in {stands(h, w) for w in range(len(h) - reach + 1)}}, [h[i] for i in {stands(h, w) for w in range(len(h) - reach + 1)}]
+
+    marks = Counter(a for i, t, _ in rows if not held(i) for a in anchors(of(t))[1])
+
+    def near(x):
+        h = hashes(x)
+        return {i for w in range(len(h) - reach + 1) if marks[h[stands(h, w)]] > 1 for i in range(w, w + reach)}
+
+    def parents(x):
+        end = tree.ids[b""]
+        p = tree.probabilities(np.r_[end, end, number(x)])
+        root = lambda t: tree.root_probability(np.array([float(n.get(t, 0))]), spelling.score([t]))[0]
+        return [q if t in tree.ids else q * root(t) for q, t in zip(p, x)], p
+
+    after, parent = defaultdict(Counter), {}
+    for i, t, _ in rows:
+        if not held(i):
+            x = of(t)
+            p = parents(x)[1]
+            for k in near(x):
+                w = x[k + long] if x[k + long] in tree.ids else None
+                after[tuple(x[k : k + long])][w] += 1
+                parent[(tuple(x[k : k + long]), w)] = p[k + long]
+    kept = {}
+    for c, met in after.items():
+        seen, kinds = sum(v for w, v in met.items() if w is not None), sum(w is not None for w in met) + 1
+        whole = sum(met.values()) + kinds
+        left = (whole - seen) / whole
+        gained = sum(v * math.log((v / whole + left * parent[(c, w)]) / parent[(c, w)]) if w is not None else v * math.log(left) for w, v in met.items())
+        if gained >= gain:
+            kept[c] = (left, {w: v / whole for w, v in met.items() if w is not None})
+    want = []
+    for i, t, _ in rows:
+        x, total = of(t), 0.0
+        own = near(x)
+        for k, p in enumerate(parents(x)[0]):
+            left, share = kept.get(tuple(x[k - long : k]), (1.0, {})) if k - long in own else (1.0, {})
+            total += math.log10(share.get(x[k], 0.0) + left * p)
+        want.append((i, len(x), round(total, 5)))
+    assert kept or gain > 1
+    got = language_model.language_scores(frame(spark, rows).repartition(3), common, 1e-3, gain).collect()
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in got) == Counter(want)
+
+
+def test_rows_without_ids_keep_their_own_scores(spark):
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id").cast("string"), (F.col("id") % 977).cast("string")).alias("text"))
+    got = language_model.language_scores(rows)
+    assert got.count() == 60_000 and got.filter("n_tokens != 4 or n_known != 4 or held_out").count() == 0
+    assert got.select(F.min("base_score"), F.max("base_score")).first()[0] < -8
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
