@@ -604,8 +604,8 @@ def test_near_duplicates(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).columns == none.columns
 
 
-@pytest.mark.parametrize("cell_rows", [simhash.CELL, 8])
-def test_links_connect_what_is_within_two_bits(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows, blocks", [(simhash.CELL, None), (8, None), (8, 5)])
+def test_links_connect_what_is_within_two_bits(spark, cell_rows, blocks):
     rng = random.Random(11)
     values = {rng.getrandbits(64) for _ in range(60)}
     seed = rng.getrandbits(64)
@@ -616,11 +616,20 @@ def test_links_connect_what_is_within_two_bits(spark, cell_rows):
     values |= {0, 1, (1 << 64) - 1, 1 << 63, (1 << 63) + 1}
     values = sorted(signed(v, 64) for v in values)
     root = classes([v % (1 << 64) for v in values])
-    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fp long"), cell_rows=cell_rows)
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fp long"), cell_rows=cell_rows, blocks=blocks)
     stars = {r.node: r.root for r in components(links).collect()}
     assert {v: stars.get(v, v) for v in values} == {v: values[r] for v, r in zip(values, root)}
 
 
+def test_blocks_tell_the_fingerprints_apart():
+    assert [simhash.blocks_for(n, 2) for n in (0, 1000, 1 << 21, 1 << 22, 10**11)] == [3, 3, 3, 4, 5]
+
+
+def test_rows_equal_in_id_and_text_leave_one_by_their_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", s) for s in ("x", "y", "z")] * 3, "doc_id long, text string, source string")
+    assert len({r.source for n in (1, 3, 5) for r in simhash.one_of_similar(rows.repartition(n)).collect()}) == 1
+
+
 def test_components_of_a_long_path(spark):
     path = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r.root for r in components(path).collect()} == {0}

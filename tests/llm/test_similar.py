@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 
+from tarn.llm import simhash
 from tests.llm.test_operators import awkward, frame, prose
 
 
@@ -47,3 +48,5 @@ def test_near_copies_of_many_bits_are_linked(spark):
     want = sorted(str(min((x for x in ids if x is not None), default=None)) for ids in groups.values())
     kept = corpus_pipeline.near_deduplicated(spark, frame(spark, rows), "").collect()
     assert sorted(str(r.doc_id) for r in kept) == want
+    kept = simhash.one_of_similar(frame(spark, rows), cell_rows=4).collect()
+    assert sorted(str(r.doc_id) for r in kept) == want
