@@ -8,8 +8,8 @@ from tarn.llm import quality
 from tarn.llm.common import materialise, table
 from tarn.llm.decontamination import without_leaks
 from tarn.llm.mixing import mixed
-from tarn.llm.resemblance import one_of_similar
 from tarn.llm.sharding import assign_shards
+from tarn.llm.simhash import one_of_similar
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
