@@ -111,7 +111,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """sized with source_size, target and start, the position of its first word in its source's
-    shuffled stream. The shuffle is the order of md5(doc_id)."""
+    shuffled stream. The shuffle is the order of md5(doc_id), or of the text's where there is no id."""
     chunk = F.substring("shuffle", 1, CHUNK_HEX)
     sums = sized.groupBy("key", chunk.alias("chunk")).agg(F.sum("size").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -125,10 +125,11 @@ def placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes of it).
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes of it), slots (for each
+    pass over its source that takes words of it, the first slot of the schedule that does).
 
-    Null text has size 0 and is never taken; null sources are one source, the last; null ids shuffle
-    as the empty string. Repeated rows are separate documents with neighbouring places; which of two
+    Null text has size 0 and is never taken; null sources are one source, the last; rows without an id are
+    shuffled by their text. Repeated rows are separate documents with neighbouring places; which of two
     equal rows comes first changes nothing. Empty input gives no rows. Extra columns are ignored.
     """
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
@@ -137,12 +138,12 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
             "doc_id",
             source_key(source).alias("key"),
             word_count(text_or_empty()).alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffle"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))).alias("shuffle"),
         ),
         "sizes",
     )
     targets = source_targets(sized, weights, share)
-    used = schedule(targets, block).groupBy("key", "block").agg(F.collect_list(F.struct("words")).alias("uses"))
+    used = schedule(targets, block).groupBy("key", "block").agg(F.collect_list(F.struct("slot", "pass", "words")).alias("uses"))
     rows = placed(sized, targets)
     row = F.struct("doc_id", "size", "source_size", "target").alias("row")
     pieces = rows.filter("size > 0").select(
@@ -150,28 +151,37 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
     )
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.col("start") + F.col("row.size") - F.col("block") * block
-    got = F.aggregate("uses", F.lit(0).cast("long"), lambda acc, use: acc + F.greatest(F.least(high, use["words"]) - low, F.lit(0)))
+    words = lambda use: F.greatest(F.least(high, use["words"]) - low, F.lit(0))
+    got = F.aggregate("uses", F.lit(0).cast("long"), lambda acc, use: acc + words(use))
+
+    def first(k: int) -> Column:
+        return F.array_min(F.transform(F.filter("uses", lambda use: (use["pass"] == k) & (words(use) > 0)), lambda use: use["slot"]))
+
     taken = (
         pieces.join(used.hint("shuffle_merge"), ["key", "block"], "left")
-        .groupBy("row", "key", "start").agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"))
-        .select("row.*", F.col("taken").cast("long").alias("taken"))
+        .groupBy("row", "key", "start").agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"), F.array_compact(F.array(*[F.min(first(k)) for k in range(MOST + 1)])).alias("slots"))
+        .select("row.*", F.col("taken").cast("long").alias("taken"), "slots")
     )
-    return taken.unionByName(rows.filter("size = 0").select(row).select("row.*").withColumn("taken", F.lit(0).cast("long")))
+    nothing = rows.filter("size = 0").select(row).select("row.*", F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("slots"))
+    return taken.unionByName(nothing)
 
 
-def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, block: int = BLOCK, position: str | None = None) -> DataFrame:
     """docs, all columns, each as often as the mix takes it to the nearest whole copy (0, 1 or 2 times).
 
-    Only the document at the end of a source's last, partial pass is taken in part. Rows equal in id and
-    size share their copies by rank.
+    position: the name of one more column, the copy's slot; rows in its order are mixed evenly throughout. Only the
+    document at the end of a source's last, partial pass is taken in part. Rows equal in id and size share their
+    copies by rank, in the order of a hash of their columns.
     """
     size = word_count(text_or_empty())
     alike = Window.partitionBy("__id", "__none", "__size")
     name = lambda: [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
     keys = ["__id", "__none", "__size", "__rank"]
-    taken = mix(docs, block).select(*name(), F.col("size").alias("__size"), "taken")
+    taken = mix(docs, block).select(*name(), F.col("size").alias("__size"), "taken", F.col("slots").alias("__slots"))
     copies = F.when(F.col("__size") > 0, F.expr("(2 * taken + __size) div (2 * __size)")).otherwise(0)
-    taken = taken.withColumn("__rank", F.row_number().over(alike.orderBy("taken"))).select(*keys, copies.cast("int").alias("__copies")).filter("__copies > 0")
-    rows = docs.select(*docs.columns, *name(), size.alias("__size"))
-    rows = rows.withColumn("__rank", F.row_number().over(alike.orderBy(F.lit(1))))
-    return rows.join(taken.hint("shuffle_merge"), keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = taken.withColumn("__rank", F.row_number().over(alike.orderBy("taken", "__slots")))
+    taken = taken.select(*keys, "__slots", copies.cast("int").alias("__copies")).filter("__copies > 0")
+    rows = docs.select(*docs.columns, *name(), size.alias("__size"), F.xxhash64(*docs.columns).alias("__row"))
+    rows = rows.withColumn("__rank", F.row_number().over(alike.orderBy("__row")))
+    out = rows.join(taken.hint("shuffle_merge"), keys).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    return out.select(*docs.columns, *([F.get("__slots", F.col("__copy")).alias(position)] if position else []))

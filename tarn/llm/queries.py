@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm.common import table
 from tarn.llm import quality
@@ -26,7 +27,7 @@ def op2_max_scoring_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).withColumn("first_slot", F.array_min("slots")).drop("slots")
 
 
 def op4_undisguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ ORACLE = {
 WITH sized AS (
   SELECT doc_id, coalesce('=' || source, '') AS key,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS shuffle
   FROM documents),
 sources AS (
   SELECT key, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS cap,
@@ -81,11 +82,27 @@ targets AS (
          coalesce(least(cap::DOUBLE, w * (SELECT arg_min(level, cap / w) FROM levels WHERE w * level < cap)), cap::DOUBLE) AS target
   FROM levels),
 placed AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS take,
+  SELECT doc_id, key, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS take,
          CAST(coalesce(sum(size) OVER (PARTITION BY key ORDER BY shuffle, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM sized JOIN targets USING (key))
-SELECT doc_id, size, source_size, target,
+  FROM sized JOIN targets USING (key)),
+quotas AS (
+  SELECT *, (take // source_size) * blocks + (take % source_size + 1023) // 1024 AS quota
+  FROM (SELECT key, source_size, CAST(floor(target + 0.5) AS BIGINT) AS take, (source_size + 1023) // 1024 AS blocks FROM targets) WHERE take > 0),
+points AS (
+  SELECT *, CAST(coalesce(sum(quota) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low,
+         CAST(ceil(log2(sum(quota) OVER ())) AS INTEGER) AS bits FROM quotas),
+slots AS (
+  SELECT key, source_size, blocks, take, list_sum(list_transform(range(bits), lambda i: ((low + u) >> i & 1) << (bits - 1 - i)))::BIGINT AS slot
+  FROM (SELECT *, unnest(range(quota)) AS u FROM points)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank FROM slots),
+uses AS (
+  SELECT key, slot, rank % blocks AS block,
+         least(1024, CASE WHEN rank // blocks < take // source_size THEN source_size ELSE take % source_size END - (rank % blocks) * 1024) AS words FROM ranked),
+firsts AS (
+  SELECT p.key, p.start, min(slot) AS first_slot FROM placed p JOIN uses u ON u.key = p.key AND u.block * 1024 < p.start + p.size AND p.start < u.block * 1024 + u.words
+  WHERE p.size > 0 GROUP BY p.key, p.start)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN first_slot END AS first_slot,
        CASE WHEN size = 0 THEN 0 ELSE CAST((take // source_size) * size + greatest(least(start + size, take % source_size) - start, 0) AS BIGINT) END AS taken
-FROM placed
+FROM placed LEFT JOIN firsts USING (key, start)
 """,
 }

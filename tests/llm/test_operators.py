@@ -182,7 +182,7 @@ def test_mix(docs, rows, none, block):
     target = targets_of(sizes)
     streams = defaultdict(list)
     for doc_id, text, source in rows:
-        streams[source].append((hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest(), words(text), doc_id))
+        streams[source].append((hashlib.md5((text or "" if doc_id is None else str(doc_id)).encode()).hexdigest(), words(text), doc_id))
     want = Counter()
     for source, stream in streams.items():
         take, at = math.floor(target[source] + 0.5), 0
@@ -210,6 +210,31 @@ def test_the_schedule_is_whole_and_even(spark):
             assert abs(order[:n].count(key) - n * share) <= 8
 
 
+def test_the_points_decide_what_comes_when(docs, monkeypatch):
+    found = lambda: {(r.doc_id, r["size"]): (r.taken, r.slots) for r in mixing.mix(docs, 7).collect()}
+    before = found()
+    assert all((slots == []) == (taken == 0) and slots == sorted(slots) for taken, slots in before.values())
+    monkeypatch.setattr(mixing, "reversed_bits", lambda x, bits: x)
+    after = found()
+    assert {k: v[0] for k, v in after.items()} == {k: v[0] for k, v in before.items()} and after != before
+
+
+def test_every_stretch_of_the_mix_has_the_target_shares(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(5, 15)), rng.choice(["a", "a", "a", "b", "c"])) for i in range(3000)]
+    out = mixing.mixed(frame(spark, rows), 16, "at").select("source", "text", "at", "doc_id").toPandas().sort_values(["at", "doc_id"])
+    size = out.text.map(words)
+    for part in (slice(0, 800), slice(900, 1900), slice(2500, None)):
+        for source, whole in (size.groupby(out.source).sum() / size.sum()).items():
+            assert abs(size[part][out.source[part] == source].sum() / size[part].sum() - whole) < 0.03
+
+
+def test_equal_ids_and_sizes_are_mixed_alike_every_time(spark):
+    rows = frame(spark, [(i % 4, f"{a} {b}", a) for i, (a, b) in enumerate(itertools.product("abcdefgh", "uvwxyz"))])
+    runs = [collected(mixing.mixed(rows.repartition(n), 3), "doc_id", "text", "source") for n in (1, 2, 5)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 20
+
+
 def test_mixed_takes_whole_copies(docs, rows, none):
     taken = [(r.doc_id, r["size"], r.taken) for r in mixing.mix(docs).collect()]
     want = Counter()
