@@ -573,15 +573,50 @@ def test_fingerprints(spark, docs, rows, none):
     assert np.mean([r.near_edited for r in long]) > 0.5
     assert fingerprints.fingerprint_edits(none).count() == 0
     for n in (1, 2):
-        few = fingerprints.with_next_text(frame(spark, rows[3 : 3 + n]), rows=1).collect()
-        assert len(few) == n
+        assert fingerprints.fingerprint_edits(frame(spark, rows[3 : 3 + n]), rows=1).count() == n
 
 
-def test_next_texts_cross_the_ranges(spark):
+@pytest.mark.parametrize("cuts", [1, 5, 64])
+def test_next_texts_cross_the_ranges(spark, cuts):
     rng = random.Random(2)
-    ids = sorted(rng.sample(range(-(10**6), 10**9), 300))
-    got = fingerprints.with_next_text(frame(spark, [(i, f"t{i}", None) for i in ids]), rows=7).collect()
-    assert {r.doc_id: r.next for r in got} == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+    ids = sorted(rng.sample(range(-(10**6), 10**9), 300)) + [2**62]  # one far from all others
+    rows = [(i, f"t{i}") for i in ids] + [(77, f"same{k}") for k in range(200)] + [(None, f"none{k}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42), 64)))
+    want = Counter((*a, b[1], len(b[1])) for a, b in zip(order, order[1:] + order[:1]))
+    got = fingerprints.with_next(docs, {"n": F.length("text")}, rows=7, cuts=cuts)
+    assert collected(got.select("doc_id", "text", F.col("next.text").alias("t"), F.col("next.n").alias("n")), "doc_id", "text", "t", "n") == want
+    ranged = fingerprints.with_ranges(docs.withColumn("th", F.xxhash64("text")), rows=7, cuts=cuts)
+    assert ranged.groupBy("part", "slice").count().agg(F.max("count")).first()[0] <= max(40, len(rows) // cuts)
+
+
+def plain_vector(text):
+    """The lanes by hand."""
+    import re
+
+    signed64 = lambda t, seed=42: xxhash.xxh64_intdigest(t.encode(), seed)
+    equal = [0] * 4
+    for p in (text or "").split("\n"):
+        if p:
+            a, b = signed64(p), xxhash.xxh64_intdigest((1).to_bytes(4, "little"), signed64(p))
+            for k, x in enumerate((a & 0xFFFFFFFF, a >> 32)):
+                equal[k] = (equal[k] + x) % (1 << 32)
+    pieces = [x.rstrip(" ") for x in re.findall(r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,4}", text or "")]
+    like = [0] * 64
+    for p in pieces:
+        h = signed64(p)
+        for k in range(16):
+            for j in range(4):
+                like[4 * k + j] += 1 if h >> (k + 16 * j) & 1 else -1
+    return equal[:2], like
+
+
+def test_vectors_are_those_of_a_plain_version(spark):
+    texts = [t for _, t, _ in awkward(11)] + ["word " * 300_000]
+    got = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "i int, text string").select("i", fingerprints.fingerprint_vector(F.col("text")).alias("v")).collect()
+    for r in got:
+        equal, like = plain_vector(texts[r.i])
+        assert r.v[:2] == equal and r.v[4:] == like
 
 
 def test_fingerprints_add_up_and_ignore_order(spark):
