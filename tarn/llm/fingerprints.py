@@ -19,7 +19,7 @@ from tarn.llm.common import materialise, text_or_empty
 
 EQUAL, LIKE, PIECE = 4, 64, 4
 _PIECES = r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,%d}" % PIECE
-_FIELDS, _SLICE = 0x0001000100010001, 32768
+_FIELDS, _SLICE = 0x0001000100010001, 32767
 #: Bits of a LIKE lane: a piece may be said eight million times.
 _BITS = 24
 #: Rows of a range, and cuts of the ids that come to the driver.
