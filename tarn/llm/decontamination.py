@@ -4,8 +4,10 @@ A seed mask names the token positions of a window that count; the others may dif
 training texts are hashed under the same masks, equal hashes are joined, and around every hit the item
 is laid over the text and compared token by token.
 
-Both masks have weight 5. Together they hit every copy of a passage of 15 tokens or more with any fifth
-of its tokens substituted (the tests try all ways for 15 to 20 tokens), which is a similarity of 0.8.
+The two masks for items of SHORT tokens or more have weight 5 and a gap each. Together they hit every copy of a
+passage of 15 tokens or more with any fifth of its tokens substituted (the tests try all ways for 15 to 20 tokens),
+which is a similarity of 0.8. Shorter items have four masks of weight 4 within five tokens: of five tokens in a row
+with at most one substituted, and every such copy of an item has these, one of them hits.
 """
 
 from __future__ import annotations
@@ -20,9 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import small_batches, text_or_empty
+from tarn.llm.common import materialise, small_batches, text_or_empty
 
-MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
+SHORT = 15
+MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 5))
+SHORT_MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+#: Items of fewer tokens cannot be told from chance.
+LEAST = 5
 #: An item counts as leaked when this share of its tokens is found in place,
 SIMILARITY = 0.8
 _SHARE = Fraction(SIMILARITY).limit_denominator(1000)
@@ -67,34 +73,38 @@ class Index:
         self.ids, self.items = [], []
         for item_id, text in items:
             found = np.array([known[t] for t in tokens(text)], dtype=np.uint64)
-            if len(found) >= len(MASKS[0]):
+            if len(found) >= LEAST:
                 self.ids.append(item_id)
                 self.items.append(found)
-        self.keys, self.item, self.at, self.bits = [], [], [], []
-        for mask in MASKS:
-            parts = [masked(x, mask) for x in self.items]
-            keys = np.concatenate([*parts, np.empty(0, dtype=np.uint64)])
-            item = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            at = np.concatenate([*(np.arange(len(x)) for x in parts), np.empty(0, dtype=np.int64)])
-            order = np.argsort(keys, kind="stable")
-            self.keys.append(keys[order])
-            self.item.append(item[order].astype(np.int32))
-            self.at.append(at[order].astype(np.int32))
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.bits.append(np.packbits(bits))
+        self.tables = []
+        for masks, short in ((MASKS, False), (SHORT_MASKS, True)):
+            chosen = [i for i, x in enumerate(self.items) if (len(x) < SHORT) == short]
+            for mask in masks if chosen else ():
+                parts = [masked(self.items[i], mask) for i in chosen]
+                keys = np.concatenate(parts)
+                item = np.repeat(np.array(chosen), [len(x) for x in parts])
+                at = np.concatenate([np.arange(len(x)) for x in parts])
+                order = np.argsort(keys, kind="stable")
+                bits = np.zeros(1 << 20, dtype=bool)
+                bits[(keys >> np.uint64(44)).astype(np.int64)] = True
+                self.tables.append((mask, keys[order], item[order].astype(np.int32), at[order].astype(np.int32), np.packbits(bits)))
 
     def diagonals(self, hashes: np.ndarray) -> np.ndarray:
         """(item, position of the item's first token in hashes) of all hits, distinct."""
-        found = []
-        for mask, keys, item, at, bits in zip(MASKS, self.keys, self.item, self.at, self.bits):
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for mask, keys, item, at, bits in self.tables:
             own = masked(hashes, mask)
             may = np.nonzero(np.unpackbits(bits).view(bool)[(own >> np.uint64(44)).astype(np.int64)])[0]
             low, high = np.searchsorted(keys, own[may], "left"), np.searchsorted(keys, own[may], "right")
             n = high - low
-            pos = np.repeat(may, n)
-            entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, dtype=np.int64)
-            found.append(np.stack([item[entry], pos - at[entry]], axis=1))
+            # Many positions with many entries each are gone through some at a time.
+            ends = np.cumsum(n)
+            cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + 1, 4_000_000), "right")
+            for a, b in zip(cuts, [*cuts[1:], len(n)]):
+                some = n[a:b]
+                pos = np.repeat(may[a:b], some)
+                entry = np.repeat(low[a:b] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+                found.append(np.unique(np.stack([item[entry], pos - at[entry]], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
     def leaks(self, hashes: np.ndarray, starts: np.ndarray) -> dict[int, dict[int, tuple[int, int, int]]]:
@@ -109,7 +119,7 @@ class Index:
             doc = int(np.searchsorted(starts, max(first, 0), "right")) - 1
             while doc < len(starts) - 1 and starts[doc] < first + len(own):
                 low, high = max(starts[doc], first), min(starts[doc + 1], first + len(own))
-                if high - low >= len(MASKS[0]):
+                if high - low >= LEAST:
                     got = verified(hashes[low:high] == own[low - first : high - first], len(own))
                     if got:
                         best = out.setdefault(doc, {})
@@ -144,18 +154,14 @@ def verified(same: np.ndarray, n: int) -> tuple[int, int] | None:
     return int(hits[best]), int(ends[best] - starts[best])
 
 
-def test_blocks(items: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
-    """The distinct item texts, each under its lowest id, in blocks of about block_tokens tokens.
-
-    The number of blocks comes from a count made on the cluster, so that what reaches the driver and the
-    executors at once is bounded whatever the benchmark's size.
-    """
+def _blocks(items: DataFrame, block_tokens: int) -> tuple[int, Iterator[Index]]:
+    """(number of blocks, the blocks): the distinct item texts, each under its lowest id, in blocks of about
+    block_tokens tokens. Their number comes from a count made on the cluster; a block comes to the driver when it is
+    asked for."""
     rows = items.groupBy(text_or_empty().alias("text")).agg(F.min("item_id").alias("item_id"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    blocks = max(1, -(-(size[0] or 0) // (block_tokens * 6)))
-    part = F.pmod(F.xxhash64("text"), F.lit(blocks))
-    for k in range(blocks):
-        yield Index([(r["item_id"], r["text"]) for r in rows.filter(part == k).collect()])
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (block_tokens * 6)))
+    part = F.pmod(F.xxhash64("text"), F.lit(n))
+    return n, (Index([(r["item_id"], r["text"]) for r in rows.filter(part == k).collect()]) for k in range(n))
 
 
 def _laid(texts: list[str | None], known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -186,22 +192,29 @@ def leaked_items(docs: DataFrame, items: DataFrame, block_tokens: int = BLOCK_TO
     Documents without a leak have no row. Equal items count once, under the lowest item_id. Items of
     fewer than five tokens cannot be told from chance and match nothing. Null texts are empty and leak
     nothing; null ids stay null; repeated documents give repeated rows; without items there are no rows.
+
+    The driver and the tasks hold one block of items at a time: of several, each one's rows are written before the
+    next is read.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, item_tokens long, matched long, aligned long, position long"
+    n, blocks = _blocks(items, block_tokens)
     out = None
-    for index in test_blocks(items, block_tokens):
+    for index in blocks:
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pairs(index), schema)
+        found = found if n == 1 else materialise(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out.withColumn("overlap", F.col("matched") / F.col("aligned"))
 
 
-def _kept(index: Index, text_at: int) -> Callable:
+def _picked(index: Index, text_at: int, leaking: bool) -> Callable:
+    """The rows that leak an item of the block, or the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             leaks = index.leaks(*_laid(batch.column(text_at).to_pylist(), known))
-            yield batch.filter(pa.array([i not in leaks for i in range(batch.num_rows)], pa.bool_()))
+            yield batch.filter(pa.array([(i in leaks) == leaking for i in range(batch.num_rows)], pa.bool_()))
 
     return run
 
@@ -209,6 +222,14 @@ def _kept(index: Index, text_at: int) -> Callable:
 def without_leaks(docs: DataFrame, items: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """docs, all columns, without the documents that leak an item (see leaked_items)."""
     small_batches(docs.sparkSession)
-    for index in test_blocks(items, block_tokens):
-        docs = docs.mapInArrow(_kept(index, docs.columns.index("text")), docs.schema)
-    return docs
+    n, blocks = _blocks(items, block_tokens)
+    if n == 1:
+        return docs.mapInArrow(_picked(next(blocks), docs.columns.index("text"), False), docs.schema)
+    # Whether a text leaks depends on the text alone, so the leaking texts' hashes say which rows go.
+    keys = lambda: [F.xxhash64(text_or_empty()).alias("__a"), F.xxhash64(F.lit("leak"), text_or_empty()).alias("__b")]
+    gone = None
+    for index in blocks:
+        found = docs.select("text").mapInArrow(_picked(index, 0, True), "text string").select(*keys()).distinct()
+        found = materialise(found, "leaks")
+        gone = found if gone is None else gone.unionByName(found)
+    return docs.select(*docs.columns, *keys()).join(gone.distinct().hint("shuffle_merge"), ["__a", "__b"], "left_anti").select(*docs.columns)

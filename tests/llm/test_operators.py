@@ -72,6 +72,11 @@ def test_masks_hit_every_copy_with_a_fifth_of_its_tokens_substituted():
         for changed in itertools.combinations(range(n), n // 5):
             left = set(range(n)) - set(changed)
             assert any(all(o + p in left for p in m) for m in decontamination.MASKS for o in range(n - m[-1]))
+    for n in range(5, 15):
+        for changed in itertools.combinations(range(n), n // 5):
+            left = set(range(n)) - set(changed)
+            assert any(all(o + p in left for p in m) for m in decontamination.SHORT_MASKS for o in range(n - m[-1]))
+    assert all(m != tuple(range(len(m))) for m in decontamination.MASKS)
 
 
 def leaks_of(text, item):
@@ -87,7 +92,7 @@ def leaks_of(text, item):
 
 def test_leaked_items(spark, docs, rows, none):
     rng = random.Random(8)
-    items = [prose(rng, n) for n in (15, 20, 60, 80)] + [" ".join(rows[15][1].split()[:30]), "too short an item", None, ""]
+    items = [prose(rng, n) for n in (15, 20, 60, 80)] + [" ".join(f"q{n}x{k}" for k in range(n)) for n in (5, 6, 11)] + [" ".join(rows[15][1].split()[:30]), "too short an item", None, ""]
 
     def changed(item, k):
         words = item.split()
@@ -96,7 +101,8 @@ def test_leaked_items(spark, docs, rows, none):
         return " ".join(words)
 
     planted = [(1000 + i, prose(rng, 30) + " " + t + " " + prose(rng, 9), "src0") for i, t in enumerate(
-        [items[0], changed(items[0], 3), changed(items[1], 4), changed(items[2], 12), changed(items[1], 9), " ".join(items[3].split()[:40]), items[2].upper()])]
+        [items[0], changed(items[0], 3), changed(items[1], 4), changed(items[2], 12), changed(items[1], 9), " ".join(items[3].split()[:40]), items[2].upper(),
+         changed(items[4], 1), changed(items[5], 1), changed(items[6], 2), changed(items[6], 3)])]
     every = rows + planted
     table = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items + [items[1]])], "item_id long, text string, doc_id int")
     want = Counter()
@@ -108,10 +114,11 @@ def test_leaked_items(spark, docs, rows, none):
     for block in (decontamination.BLOCK_TOKENS, 20):
         assert collected(decontamination.leaked_items(full, table, block), "doc_id", "item_id", "matched") == want
     found = {k[0] for k in want}
-    assert {1000, 1001, 1002, 1003, 1005, 1006} <= found and 1004 not in found
-    kept = decontamination.without_leaks(full, table)
-    assert kept.columns == full.columns
-    assert collected(kept, "doc_id", "text") == Counter((i, t) for i, t, _ in every if not any(leaks_of(t, x) for x in items if x and len(decontamination.tokens(x)) >= 5))
+    assert {1000, 1001, 1002, 1003, 1005, 1006, 1007, 1008, 1009} <= found and not found & {1004, 1010}
+    for block in (decontamination.BLOCK_TOKENS, 100):
+        kept = decontamination.without_leaks(full, table, block)
+        assert kept.columns == full.columns
+        assert collected(kept, "doc_id", "text") == Counter((i, t) for i, t, _ in every if not any(leaks_of(t, x) for x in items if x and len(decontamination.tokens(x)) >= 5))
     assert decontamination.leaked_items(none, table).count() == 0
     assert decontamination.leaked_items(full, table.limit(0)).count() == 0
     assert decontamination.without_leaks(full, table.limit(0)).count() == len(every)
