@@ -144,6 +144,34 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+_SAID = "<h1>The title here</h1><p>A first sentence of the text that goes on. Another one follows it here.</p><p>And more of it, with commas, and an end. It says something.</p>"
+_KEPT = "The title here\n\nA first sentence of the text that goes on. Another one follows it here.\n\nAnd more of it, with commas, and an end. It says something."
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><nav><a href=/>x</a></nav><div class='post type-post category-legal'>{}</div></body>", _KEPT),
+    ("<body><form id=aspnetForm><div class=menu><a href=/a>One</a><a href=/b>Two</a></div><div>{}</div></form></body>", _KEPT),
+    ("<article>{}<p class='share-price'>Price of the share 12.40</p></article>", _KEPT + "\n\nPrice of the share 12.40"),
+    ("<article>{}<section class='social-history'><p>The town was founded long ago. It grew fast.</p></section></article>", _KEPT + "\n\nThe town was founded long ago. It grew fast."),
+    ("<body><article>{}</article><div class=kommentare><p>Toller Text, danke. Sehr gut gemacht.</p><p>Finde ich auch. Weiter so.</p></div></body>", _KEPT),
+    ("<body><div id=publicidad><p>Compre ya. Es barato.</p></div><div class=contenido>{}</div><section class=commentaires><p>Merci bien. Tr\u00e8s bon.</p></section></body>", _KEPT),
+])
+def test_names_alone_do_not_decide(page, text):
+    assert html_text.main_text(page.format(_SAID)) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 170_000, "<div>" * 60_000 + "word " * 1000 + "</p>" * 60_000, "<a href=x>" * 50_000, "</x>" * 100_000, "<" * 100_000, "<p>one two" * 60_000])
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+
+    took = []
+    for part in (page[: len(page) // 4], page):
+        start = time.process_time()
+        html_text.main_text(part)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_best_region_is_the_greatest():
     rng = random.Random(1)
     for _ in range(300):
