@@ -490,22 +490,12 @@ def test_scores_are_those_of_a_plain_model(spark, none, common, gain):
     rows = [(i, t, None) for i, t in enumerate(texts)] + [(None, t, None) for t in texts[:40]] + [(3, texts[3], None), (4, texts[9], None), (902, said, None), (907, texts[20], None)]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     n, tree, spelling = grown(spark, frame(spark, [r for r in rows if not held(r[0])]), common, gain=gain)
-    long, reach = language_model.LONG, language_model.REACH
+    long = language_model.LONG
     of = lambda t: [*(t or "").encode().lower().split(), b""]
-    runs = lambda x: [x[i : i + long] for i in range(len(x) - long)]
     number = lambda x: np.array([tree.ids[t] for t in x], dtype=np.int64)
-    hashes = lambda x: language_model.long_contexts(number(x)).tolist()
-    stands = lambda h, w: min(range(w, w + reach), key=lambda i: (h[i], i))
-
-    def anchors(x):
-        h = hashes(x)
-        return {h[i] for i in {stands(h, w) for w in range(len(h) - reach + 1)}}, [h[i] for i in {stands(h, w) for w in range(len(h) - reach + 1)}]
-
-    marks = Counter(a for i, t, _ in rows if not held(i) for a in anchors(of(t))[1])
-
-    def near(x):
-        h = hashes(x)
-        return {i for w in range(len(h) - reach + 1) if marks[h[stands(h, w)]] > 1 for i in range(w, w + reach)}
+    chosen = lambda x: {k for k, h in enumerate(language_model.long_contexts(number(x)).tolist()) if h % language_model.THIN == 0}
+    marks = Counter(tuple(of(t)[k : k + long]) for i, t, _ in rows if not held(i) for k in chosen(of(t)))
+    near = lambda x: {k for k in chosen(x) if marks[tuple(x[k : k + long])] > 1}
 
     def parents(x):
         end = tree.ids[b""]
