@@ -35,11 +35,16 @@ def page_fallback(postings: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(named, "page_id", "left").select("page_id", F.when(~F.coalesce("named", F.lit(False)), blank_to_null(F.col("label"))).alias("fallback"))
 
 
+def members(postings: DataFrame) -> DataFrame:
+    """norm_name and id of every posting that names a company: rows, as a popular name may have any number."""
+    return postings.select(company_name(F.col("company")).alias("norm_name"), "id").filter("norm_name != ''")
+
+
 def groups(postings: DataFrame) -> DataFrame:
-    """norm_name, display_name, first_title, ids of the postings of each company; nameless ones are left out."""
+    """norm_name, display_name, first_title, n (postings) and first_id of each company; nameless ones are left out."""
     named = postings.withColumn("norm_name", company_name(F.col("company"))).filter("norm_name != ''")
     first = lambda c: F.min_by(c, F.struct("first_seen_at", "id"))
-    return named.groupBy("norm_name").agg(first("company").alias("display_name"), first("title").alias("first_title"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return named.groupBy("norm_name").agg(first("company").alias("display_name"), first("title").alias("first_title"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def missing(found: DataFrame, companies: DataFrame) -> DataFrame:

@@ -58,15 +58,15 @@ def _two_earliest(sent: DataFrame, *by: str) -> DataFrame:
     return sent.withColumn("rn", F.row_number().over(order)).filter("rn <= 2").drop("rn")
 
 
-def duplicates(rows: DataFrame, now: Column | None = None) -> DataFrame:
-    """id, duplicate_of: for each row the earliest other one of its content_key that was notified within the
+def duplicates(rows: DataFrame, now: Column | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """id, duplicate_of: for each row (of `asked`, if it is given: some of the rows) the earliest other one of its content_key that was notified within the
     horizon before `now`; without it, within the horizon before the row's own first_seen_at.
 
     rows: id, content_key, first_seen_at, notified_at. With a common `now` each key is first reduced to its
     two earliest rows. Without it, both sides are dealt by (key, fortnight), so that a popular key is spread
     over time, and rows of one key and instant are reduced to two.
     """
-    asked = rows.filter("content_key is not null").select("id", "content_key", F.col("first_seen_at").alias("at"))
+    asked = (rows if asked is None else asked).filter("content_key is not null").select("id", "content_key", F.col("first_seen_at").alias("at"))
     sent = rows.filter("content_key is not null and notified_at is not null").select("content_key", F.col("id").alias("dup_id"), F.col("notified_at").alias("dup_at"))
     if now is not None:
         met = asked.join(_two_earliest(sent.filter(F.col("dup_at") >= now - F.expr(HORIZON)), "content_key"), "content_key").filter("id != dup_id")
@@ -95,8 +95,16 @@ def survivors(rows: DataFrame) -> DataFrame:
 
 def backfilled_keys(rows: DataFrame) -> DataFrame:
     """rows with dedupe_key replaced by their stored form where no other row of the page has that key."""
-    form = F.regexp_replace(F.lower(stored_form(F.col("url"))), "/$", "")
-    moved = rows.filter("url is not null").select("id", "page_id", form.alias("new_key")).filter("new_key != ''")
-    taken = rows.select("page_id", F.col("dedupe_key").alias("new_key"), F.col("id").alias("other"))
-    free = moved.join(taken, (moved.page_id == taken.page_id) & (moved.new_key == taken.new_key) & (moved.id != taken.other), "left_anti")
-    return rows.join(free.select("id", "new_key"), "id", "left").withColumn("dedupe_key", F.coalesce("new_key", "dedupe_key")).drop("new_key")
+    form = F.nullif(F.regexp_replace(F.lower(stored_form(F.col("url"))), "/$", ""), F.lit(""))
+    rows = rows.withColumn("new_key", form)
+    # Old and new keys meet once; a new key is free if no row has it, or only the row itself.
+    whole = F.struct(*[c for c in rows.columns if c not in ("page_id", "new_key")])
+    moved = rows.filter("new_key is not null").select("page_id", F.col("new_key").alias("key"), whole.alias("row"))
+    taken = rows.select("page_id", F.col("dedupe_key").alias("key"), F.lit(None).cast(moved.schema["row"].dataType).alias("row"))
+    met = moved.unionByName(taken).withColumn("n", F.count_if(F.col("row").isNull()).over(Window.partitionBy("page_id", "key"))).filter("row is not null")
+    others = F.col("n") - (F.col("row.dedupe_key") == F.col("key")).cast("int")
+    kept = [c for c in rows.columns if c != "new_key"]
+    out = met.withColumn("dedupe_key", F.when(others > 0, F.col("row.dedupe_key")).otherwise(F.col("key"))).select(
+        *[F.col(c) if c in ("page_id", "dedupe_key") else F.col(f"row.{c}").alias(c) for c in kept]
+    )
+    return out.unionByName(rows.filter("new_key is null").select(*kept))

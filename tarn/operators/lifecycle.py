@@ -110,8 +110,11 @@ def screened(rows: DataFrame, config: Config, judge: Column | None = None) -> Da
     null where it gave none (the row stays pending). Without a profile what no keyword blocks is skipped.
     """
     p = config.profile
-    turn = Window.partitionBy("page_id", F.col("filter_status") == "pending").orderBy("first_seen_at", "id")
-    rows = rows.withColumn("now", (F.col("filter_status") == "pending") & (F.row_number().over(turn) <= SCREEN))
+    pending = F.coalesce(F.col("filter_status") == "pending", F.lit(False))
+    turn = Window.partitionBy("page_id").orderBy("first_seen_at", "id")
+    # Only what is pending is put in order, not a page's whole history.
+    every = rows
+    rows = rows.filter(pending).withColumn("now", F.row_number().over(turn) <= SCREEN).unionByName(rows.filter(~pending).withColumn("now", F.lit(False)))
     blocked = gates.blocked_keyword(F.col("title"), p.negative_keywords)
     rows = rows.withColumn("blocked", F.when(F.col("now"), gates.blocked_verdict(F.col("title"), blocked)))
     rows = rows.withColumn("blocked", F.when(F.col("now") & blocked.isNotNull(), F.col("blocked")))
@@ -121,10 +124,11 @@ def screened(rows: DataFrame, config: Config, judge: Column | None = None) -> Da
     said = gates.thin_backstop(said, F.col("title"), F.col("company"), F.col("location"), F.col("compensation"), p)
     open_ = F.col("now") & F.col("blocked").isNull() & F.col("gate").isNull()
     rows = rows.withColumn("said", F.when(open_ & F.lit(p.has_content()), said))
-    dup = duplicates(rows.select("id", "content_key", "first_seen_at", "notified_at"))
+    match = F.coalesce(F.col("said.verdict") == "match", F.lit(False))
+    columns = ["id", "content_key", "first_seen_at", "notified_at"]
+    dup = duplicates(every.select(*columns), asked=rows.filter(match).select(*columns))
     rows = rows.join(dup.withColumnRenamed("duplicate_of", "dup"), "id", "left")
     skip = open_ & F.lit(not p.has_content())
-    match = F.coalesce(F.col("said.verdict") == "match", F.lit(False))
     to_company = F.lit(config.company_layer) & F.coalesce("company", "fallback").isNotNull()
     go = skip | (match & F.col("dup").isNull())
     held = F.col("blocked").isNotNull() | F.col("gate").isNotNull() | (F.col("said").isNotNull() & ~match)
@@ -140,6 +144,6 @@ def outbox(rows: DataFrame, now: Column) -> DataFrame:
     """id, page_id, duplicate_of, send for the queued rows of one run: the oldest NOTIFY of a page; a row is
     suppressed if its content was sent within the horizon or comes earlier in this run."""
     queued = batch_cap(rows.filter("pending_notify and notified_at is null").select("id", "page_id", "content_key", "first_seen_at"), NOTIFY)
-    dup = duplicates(rows.select("id", "content_key", "first_seen_at", "notified_at"), now)
+    dup = duplicates(rows.select("id", "content_key", "first_seen_at", "notified_at"), now, queued)
     out = queued.join(dup, "id", "left").withColumn("first", first_of_batch(queued))
     return out.select("id", "page_id", "duplicate_of", (F.col("duplicate_of").isNull() & F.col("first")).alias("send"))

@@ -38,13 +38,48 @@ def scored(titles: DataFrame, anchors: DataFrame) -> DataFrame:
     return met.select("page_id", "pos", "link_id", "href", anchor_score(F.col("title"), F.col("text")).alias("score"))
 
 
-def best_anchor(titles: DataFrame, anchors: DataFrame) -> DataFrame:
-    """page_id, pos, link_id, href, score where the best anchor is strong and clear of the next best."""
+def clear_best(rows: DataFrame) -> DataFrame:
+    """The best scored row of each page_id and pos, where it is strong and clear of the next best."""
     order = Window.partitionBy("page_id", "pos").orderBy(F.desc("score"), "link_id")
-    ranked = scored(titles, anchors).select("*", F.row_number().over(order).alias("rn"), F.coalesce(F.lead("score").over(order), F.lit(0.0)).alias("next"))
+    ranked = rows.select("*", F.row_number().over(order).alias("rn"), F.coalesce(F.lead("score").over(order), F.lit(0.0)).alias("next"))
     return ranked.filter((F.col("rn") == 1) & (F.col("score") >= STRONG) & (F.col("score") - F.col("next") >= MARGIN)).drop("rn", "next")
 
 
+def best_anchor(titles: DataFrame, anchors: DataFrame) -> DataFrame:
+    """page_id, pos, link_id, href, score where the best anchor is strong and clear of the next best."""
+    return clear_best(scored(titles, anchors))
+
+
+def cited_links(postings: DataFrame, usable: DataFrame) -> DataFrame:
+    """page_id, pos, cited, cited_score: the usable link whose number a posting cites. The score gates nothing."""
+    score = anchor_score(F.col("title"), F.col("text"))
+    return postings.join(usable.withColumnRenamed("href", "cited"), ["page_id", "link_id"]).select("page_id", "pos", "cited", score.alias("cited_score"))
+
+
+def own_links(postings: DataFrame, usable: DataFrame) -> DataFrame:
+    """page_id, pos, own, own_score: a posting's own address, if a usable link of the page has it (the first that does)."""
+    first = Window.partitionBy("page_id", F.lower("href")).orderBy("link_id")
+    by_url = usable.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("page_id", F.lower("href").alias("key"), "text")
+    met = postings.filter("url is not null").withColumn("key", F.lower("url")).join(by_url, ["page_id", "key"])
+    return met.select("page_id", "pos", F.col("url").alias("own"), anchor_score(F.col("title"), F.col("text")).alias("own_score"))
+
+
+def _joined(postings: DataFrame, cited: DataFrame, own: DataFrame, best: DataFrame, cards: DataFrame | None) -> DataFrame:
+    """page_id, pos, title with what each branch has for a posting."""
+    out = postings.select("page_id", "pos", "title")
+    for found in (cited, own, best):
+        out = out.join(found, ["page_id", "pos"], "left")
+    card = cards.select("page_id", "pos", F.col("href").alias("card"), F.col("score").alias("card_score")) if cards is not None else None
+    return out.join(card, ["page_id", "pos"], "left") if card is not None else out.withColumns({"card": F.lit(None).cast("string"), "card_score": F.lit(None).cast("double")})
+
+
+def branches(postings: DataFrame, usable: DataFrame, cards: DataFrame | None = None) -> DataFrame:
+    """page_id, pos, branch: card, cited, own, best or none, the first in this order that has a link for a posting."""
+    best = best_anchor(postings.select("page_id", "pos", "title"), usable).select("page_id", "pos", F.col("href").alias("best"), F.col("score").alias("best_score"))
+    out = _joined(postings, cited_links(postings, usable), own_links(postings, usable), best, cards)
+    return out.select("page_id", "pos", F.coalesce(*[F.when(F.col(c).isNotNull(), c) for c in ("card", "cited", "own", "best")], F.lit("none")).alias("branch"))
+
+
 def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """page_id, pos, url, source, score, note of every posting of a crawl.
 
@@ -54,21 +89,10 @@ def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = N
     link by citation or title, the best score keeps it; the others try the next best anchor, or have none.
     """
     usable = anchors.filter("usable").drop("usable")
-    score = anchor_score(F.col("title"), F.col("text"))
-    cited = postings.join(usable.withColumnRenamed("href", "cited"), ["page_id", "link_id"]).select("page_id", "pos", "cited", score.alias("cited_score"))
-    first = Window.partitionBy("page_id", F.lower("href")).orderBy("link_id")
-    by_url = usable.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("page_id", F.lower("href").alias("key"), "text")
-    own = (
-        postings.filter("url is not null").withColumn("key", F.lower("url")).join(by_url, ["page_id", "key"])
-        .select("page_id", "pos", F.col("url").alias("own"), score.alias("own_score"))
-    )
+    cited, own = cited_links(postings, usable), own_links(postings, usable)
     all_scored = scored(postings.select("page_id", "pos", "title"), usable)
-    best = best_anchor(postings.select("page_id", "pos", "title"), usable).select("page_id", "pos", F.col("href").alias("best"), F.col("score").alias("best_score"))
-    out = postings.select("page_id", "pos", "title")
-    for found in (cited, own, best):
-        out = out.join(found, ["page_id", "pos"], "left")
-    card = cards.select("page_id", "pos", F.col("href").alias("card"), F.col("score").alias("card_score")) if cards is not None else None
-    out = out.join(card, ["page_id", "pos"], "left") if card is not None else out.withColumns({"card": F.lit(None).cast("string"), "card_score": F.lit(None).cast("double")})
+    best = clear_best(all_scored).select("page_id", "pos", F.col("href").alias("best"), F.col("score").alias("best_score"))
+    out = _joined(postings, cited, own, best, cards)
 
     def choice(url: str, source: str, note: str | None) -> Column:
         return F.when(F.col(url).isNotNull(), F.struct(F.col(url).alias("url"), F.lit(source).alias("source"), F.col(f"{url}_score").alias("score"), F.lit(note).cast("string").alias("note")))
@@ -82,10 +106,8 @@ def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = N
     claim = Window.partitionBy("page_id", F.when(claimed, F.lower("url")).otherwise(F.concat(F.lit("\0"), F.col("pos").cast("string")))).orderBy(F.desc("score"), "pos")
     picked = picked.withColumn("rn", F.row_number().over(claim))
     lost = picked.filter(F.col("source").isin("cited", "matched") & (F.col("rn") > 1)).select("page_id", "pos", F.col("url").alias("lost"), F.col("score").alias("old"))
-    retry = Window.partitionBy("page_id", "pos").orderBy(F.desc("score"), "link_id")
-    again = lost.join(all_scored, ["page_id", "pos"]).filter(F.lower("href") != F.lower("lost"))
-    again = again.select("*", F.row_number().over(retry).alias("k"), F.coalesce(F.lead("score").over(retry), F.lit(0.0)).alias("next"))
-    again = again.filter((F.col("k") == 1) & (F.col("score") >= STRONG) & (F.col("score") - F.col("next") >= MARGIN)).select("page_id", "pos", F.col("href").alias("alt"), F.col("score").alias("alt_score"))
+    again = clear_best(lost.join(all_scored, ["page_id", "pos"]).filter(F.lower("href") != F.lower("lost")))
+    again = again.select("page_id", "pos", F.col("href").alias("alt"), F.col("score").alias("alt_score"))
     out = picked.join(lost, ["page_id", "pos"], "left").join(again, ["page_id", "pos"], "left")
     beaten, found = F.col("lost").isNotNull(), F.col("alt").isNotNull()
     note = "link was claimed by a better-matching posting"

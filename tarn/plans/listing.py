@@ -41,6 +41,15 @@ def list_postings(postings: DataFrame, sort: str = "first_seen_at", ascending: b
     return page.offset(max(offset, 0)).limit(min(limit or 50, 200))
 
 
+#: The most rows that one plain read of a table gives, whatever is asked for.
+CEILING = 1000
+
+
+def capped_read(rows: DataFrame, *order: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A plain read of a table through the interface: at most CEILING rows of it, in a stated order."""
+    return rows.orderBy(*order).offset(max(offset, 0)).limit(CEILING if limit is None else min(max(limit, 0), CEILING))
+
+
 def count_postings(postings: DataFrame, **filters) -> DataFrame:
     return postings.filter(conditions(**filters)).agg(F.count(F.lit(1)).alias("total"))
 

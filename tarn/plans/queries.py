@@ -574,7 +574,7 @@ def link_quality(spark, sf_dir):
 @query("SELECT lower(replace(company, '#', '#')) AS norm_name, count(*) AS n, arg_min(title, first_seen_at::VARCHAR || id) AS first_title, min(id) AS first_id FROM postings_v GROUP BY company", "p")
 def company_groups(spark, sf_dir):
     found = companies.groups(postings(spark, sf_dir))
-    return found.select("norm_name", F.size("ids").cast("long").alias("n"), "first_title", F.get("ids", F.lit(0)).alias("first_id"))
+    return found.select("norm_name", "n", "first_title", "first_id")
 
 
 # --- runs ------------------------------------------------------------------------------------------

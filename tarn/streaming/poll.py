@@ -55,10 +55,11 @@ def run_batch(
 
 
 class Versions:
-    """Snapshots of a table in numbered folders; a version counts once its success mark is there."""
+    """Snapshots of a table in numbered folders; a version counts once its success mark is there. The last `kept`
+    versions stay, so that a run that reads the one before can still end."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, kept: int = 3):
+        self.spark, self.path, self.schema, self.kept = spark, path, schema, kept
 
     def _complete(self) -> list[int]:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
@@ -78,6 +79,9 @@ class Versions:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        for old in [n for n in self._complete() if n <= version - self.kept]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def start(crawls: DataFrame, state: Versions, config: Config, checkpoint: str, now: Callable[[], str], judge: Column | None = None, once: bool = False) -> StreamingQuery:
