@@ -14,7 +14,7 @@ coordinate; a row meets only those whose first coordinate is at most `bits` more
 * `similar_groups` (texts whose sets of five-word shingles have a Jaccard similarity of 0.8): 128 bits, of which
   such texts differ in about 19; RADIUS is four standard deviations more. A text is in the cells of its KEEP
   shingles of least hash; two such texts share none of them with probability 0.2 ** KEEP at most. Survivors are
-  verified on the whole sets.
+  verified on the whole sets, by 32 bits of each shingle's hash.
 """
 
 from __future__ import annotations
@@ -301,6 +301,11 @@ def wide_fingerprint(found: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
+def short(found: np.ndarray) -> np.ndarray:
+    """The first 32 bits of a set's hashes: two of different shingles are equal once in four thousand million."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -312,12 +317,13 @@ _SETS = "doc_id long, th long, node long, n int, fp long, fq long, cells array<l
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-        node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), dtype=np.uint64, count=len(sets))
-        wide = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        whole = [shingle_set(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+        node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in whole), dtype=np.uint64, count=len(whole))
+        wide = np.array([wide_fingerprint(s) for s in whole], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        sets = [short(s) for s in whole]
         columns = [
             batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]),
-            pa.array([s[:KEEP].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()),
+            pa.array([s[:KEEP].astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SETS.split(", ")])
 
@@ -326,8 +332,8 @@ def _open_links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """The links that join different components in the cells. A pair is looked at in the first cell that it shares,
     and not if it is joined already."""
     node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column("shingles")]
-    home, least = rows.column("home").to_numpy().view(np.uint64), np.full((len(sets), KEEP), np.iinfo(np.uint64).max, dtype=np.uint64)
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in rows.column("shingles")]
+    home, least = rows.column("home").to_numpy(), np.full((len(sets), KEEP), 1 << 32, dtype=np.int64)
     for x, found in zip(least, sets):
         x[: len(found[:KEEP])] = found[:KEEP]
     _, own = np.unique(rows.column("root").to_numpy(), return_inverse=True)
@@ -357,7 +363,7 @@ def _open_links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+        a, b = ([np.frombuffer(x, dtype=np.uint32) for x in batch.column(k).to_pylist()] for k in (2, 3))
         ok = pa.array([similarity(x, y) >= SIMILARITY for x, y in zip(a, b)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
