@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes per Arrow batch: a batch of very long texts must still fit beside the JVM heap.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -328,6 +328,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SETS.split(", ")])
 
 
+_OPEN = "cell long, node long, n int, fp long, fq long, root long"
+
+
+def _with_partners(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows that have a pair in their cell that may be similar and is in another component."""
+    root, n = rows.column("root").to_numpy(), rows.column("n").to_numpy()
+    found = np.zeros(rows.num_rows, dtype=bool)
+    for a, b in _pairs(rows.column("cell").to_numpy(), _words(rows, ["fp", "fq"]), rows.column("side").to_numpy(), RADIUS):
+        ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b]))
+        found[a[ok]] = found[b[ok]] = True
+    some = rows.filter(pa.array(found)).drop_columns(["cell"]).rename_columns({"home": "cell"})
+    yield from some.select([x.split()[0] for x in _OPEN.split(", ")]).combine_chunks().to_batches()
+
+
 def _open_links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """The links that join different components in the cells. A pair is looked at in the first cell that it shares,
     and not if it is joined already."""
@@ -402,8 +416,8 @@ def similar_groups(docs: DataFrame, cell_rows: int = CELL) -> DataFrame:
     sets are one node.
 
     Cells are settled in two rounds, and what is in one component by then is not compared again: each node against
-    its cell's lowest one, which joins up most groups of copies; then, where a cell is not one component yet, all its
-    nodes meet with their sets, and only links come out.
+    its cell's lowest one, which joins up most groups of copies; then, where a cell is not one component yet, its nodes
+    that have a partner by their fingerprints meet with their sets, and only links come out.
     """
     small_batches(docs.sparkSession)
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty()).alias("th"))
@@ -424,7 +438,8 @@ def similar_groups(docs: DataFrame, cell_rows: int = CELL) -> DataFrame:
     rooted = met.join(stars, "node", "left").select("cell", F.col("cell").alias("home"), "node", "n", "fp", "fq", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "rooted")
     open_ = rooted.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("cell")
-    left = materialise(rooted.join(open_, "cell", "left_semi"), "open")
+    left = _dealt(rooted.join(open_, "cell", "left_semi"), "node", ["fp", "fq"], cell_rows).mapInArrow(_by_cells(_with_partners), _OPEN)
+    left = materialise(left.distinct().withColumn("home", F.col("cell")), "open")
     dealt = _dealt(left.join(_sets_of(left.select("node"), marked).hint("shuffle_merge"), "node"), "node", ["fp", "fq"], cell_rows)
     stars = components(links.unionByName(materialise(dealt.mapInArrow(_by_cells(_open_links, OPEN_ROWS), "u long, v long"), "joined")))
     roots = nodes.select("node", "low").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
