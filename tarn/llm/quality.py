@@ -1,7 +1,7 @@
 """Quality classification from positive and unlabelled texts (PU learning).
 
-The model is an additive logistic one over thresholded features of a text's form. It minimises the
-non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)),  where R_p is measured on texts
+The model is an additive logistic one over thresholded features of a text's form and over which words and runs of
+three bytes it is made of, hashed into buckets. It minimises the non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)),  where R_p is measured on texts
 labelled good, R_u on unlabelled ones, and pi, the share of good texts, is estimated from these two
 samples alone: pi is at most the share of any region among unlabelled texts over its share among good
 ones, and the least ratio over the upper regions of a first classifier is taken.
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import small_batches
+from tarn.llm.common import materialise, small_batches
 
 #: Rows of each kind that the fit takes at most, chosen by a hash of their ids.
 SAMPLE = 20_000
@@ -28,15 +29,32 @@ FEATURES = (
     "top_word", "word_chars", "long_words", "same_lines", "lines", "brevity", "marked_words", "capital_words",
 )
 _BINS = 8
+#: Buckets for words, and as many for runs of three bytes.
+BUCKETS = 128
+#: What weights cost: those of the form's thresholds, and those of buckets, of which there are many. Theirs is over the
+#: rows of the lesser sample, so that a few rows teach little about words.
+DECAY, LEXICAL_DECAY = 2e-4, 100.0
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#$%&*<>=@\\^_`{}~[]/"]] = True
 
 
-def features(text: str) -> list[float]:
-    """The features of one text, all finite; those of an empty text are zero."""
+def lexical(raw: np.ndarray, met: Counter) -> np.ndarray:
+    """The roots of the buckets' shares of a text's words, then of its runs of three bytes, in 255ths."""
+    buckets = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS for w in met), dtype=np.int64, count=len(met))
+    words = np.bincount(buckets, weights=np.fromiter(met.values(), dtype=np.float64, count=len(met)), minlength=BUCKETS)
+    runs = np.zeros(BUCKETS)
+    for at in range(0, max(0, len(raw) - 2), 1 << 16):
+        part = raw[at : at + (1 << 16) + 2].astype(np.uint32)
+        mixed = (part[:-2] * np.uint32(0x10001) ^ part[1:-1] * np.uint32(0x101) ^ part[2:]) * np.uint32(0x9E3779B1)
+        runs += np.bincount(mixed >> np.uint32(25), minlength=BUCKETS)
+    return np.round(255 * np.sqrt(np.concatenate([words / words.sum(), runs / max(1.0, runs.sum())])))
+
+
+def features(text: str) -> np.ndarray:
+    """The features of one text, all finite: those of its form, then its buckets. Those of an empty text are zero."""
     words = text.split()
     if not words:
-        return [0.0] * len(FEATURES)
+        return np.zeros(len(FEATURES) + 2 * BUCKETS)
     raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     counts = np.bincount(raw, minlength=256)
     n, k = len(raw), len(words)
@@ -48,25 +66,29 @@ def features(text: str) -> list[float]:
     # Over stretches of one length, so that a long text is not taken for a repetitive one.
     distinct = sum(len(set(words[i : i + 100])) for i in range(0, k, 100)) / k
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=k)
-    return [
+    form = [
         upper / letters, int(counts[_SYMBOLS].sum()) / n, counts[33] / n, counts[124] / n, int(counts[48:58].sum()) / n,
         counts[44] / n, counts[46] / n, (counts[32] + counts[10]) / n,
         sum(map(str.__eq__, words, words[1:])) / k, distinct, max(met.values()) / k,
         float(lengths.mean()), float((lengths > 14).mean()), 1 - len(set(lines)) / len(lines), min(1.0, 20 * len(lines) / k), min(1.0, k / 20),
         sum(1 for w in met if not w[-1].isalnum() and w[-1] not in ".,") / len(met), sum(1 for w in met if w.isupper() and len(w) > 1) / len(met),
     ]
+    return np.concatenate([form, lexical(raw, met)])
 
 
 class Model:
-    """Thresholds of every feature, the weights of passing them, and the prior."""
+    """Thresholds of every feature of the form, mean and spread of every bucket, their weights, and the prior."""
 
-    def __init__(self, cuts: np.ndarray, weights: np.ndarray, prior: float):
-        self.cuts, self.weights, self.prior = cuts, weights, prior
+    def __init__(self, cuts: np.ndarray, mean: np.ndarray, spread: np.ndarray, weights: np.ndarray, prior: float):
+        self.cuts, self.mean, self.spread, self.weights, self.prior = cuts, mean, spread, weights, prior
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        """A column of ones, and whether each feature passes each of its thresholds."""
-        steps = (x[:, :, None] > self.cuts[None]).reshape(len(x), -1)
-        return np.concatenate([np.ones((len(x), 1)), steps], axis=1)
+        """A column of ones, whether each feature passes each of its thresholds, and the buckets, of one spread and
+        cut at two of it; an empty text's are zero."""
+        n = len(self.cuts)
+        steps = (x[:, :n, None] > self.cuts[None]).reshape(len(x), -1)
+        buckets = np.clip((x[:, n:] - self.mean) / self.spread, -2, 2) * (x[:, n:].sum(axis=1, keepdims=True) > 0) / 4
+        return np.concatenate([np.ones((len(x), 1)), steps, buckets], axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
@@ -82,15 +104,17 @@ def estimated_prior(good: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(((u + error) / p).min(), 0.05, 0.99))
 
 
-def _descend(p: np.ndarray, u: np.ndarray, prior: float, decay: float = 2e-4, steps: int = 400) -> np.ndarray:
+def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400) -> np.ndarray:
     """Minimises the non-negative risk with the logistic loss, by Adam over whole samples."""
+    decay = np.full(p.shape[1], DECAY)
+    decay[0], decay[1 + len(FEATURES) * _BINS :] = 0.0, LEXICAL_DECAY / min(len(p), len(u))
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     for t in range(1, steps + 1):
         sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
         negative = float(-np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean())
         g_neg = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
         g = prior * (p.T @ (sp - 1)) / len(p) + g_neg if negative >= 0 else -g_neg
-        g = g + decay * np.r_[0, w[1:]]
+        g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -100,15 +124,17 @@ def fit(good: np.ndarray, unlabelled: np.ndarray) -> Model:
     """The model from feature rows of texts labelled good and of unlabelled ones. Without either it
     finds every text good."""
     if not len(good) or not len(unlabelled):
-        return Model(np.zeros((len(FEATURES), 1)), np.r_[5.0, np.zeros(len(FEATURES))], 1.0)
+        return Model(np.zeros((len(FEATURES), 1)), np.zeros(2 * BUCKETS), np.ones(2 * BUCKETS), np.r_[5.0, np.zeros(len(FEATURES) + 2 * BUCKETS)], 1.0)
     both = np.concatenate([good, unlabelled])
     tail = np.array([0.005, 0.02, 0.05, 0.12, 0.88, 0.95, 0.98, 0.995])[:_BINS]
     # Shares below LEAST are not told from none: one odd word must not mark a long text.
-    model = Model(np.maximum(np.quantile(both, tail, axis=0).T, LEAST), np.zeros(1), 0.5)
+    form, buckets = both[:, : len(FEATURES)], both[:, len(FEATURES) :]
+    model = Model(np.maximum(np.quantile(form, tail, axis=0).T, LEAST), buckets.mean(axis=0), buckets.std(axis=0) + 1.0, np.zeros(1), 0.5)
     p, u = model.design(good), model.design(unlabelled)
-    # The first classifier only tells the samples apart; its order of texts is that of their quality.
-    first = _descend(p, u, 0.5)
-    model.prior = estimated_prior(p @ first, u @ first)
+    # The first classifier only tells the samples apart, by form; its order of texts is that of their quality.
+    n = 1 + model.cuts.size
+    first = _descend(p[:, :n], u[:, :n], 0.5)
+    model.prior = estimated_prior(p[:, :n] @ first, u[:, :n] @ first)
     model.weights = _descend(p, u, model.prior)
     return model
 
@@ -117,16 +143,27 @@ def _split(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % 5
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A text's features, those of its form in 32 bits and its buckets in 8."""
+    return x[: len(FEATURES)].astype("<f4").tobytes() + x[len(FEATURES) :].astype(np.uint8).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    raw, n = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), 4 * len(FEATURES) + 2 * BUCKETS), 4 * len(FEATURES)
+    return np.concatenate([np.ascontiguousarray(raw[:, :n]).view("<f4").astype(float), raw[:, n:].astype(float)], axis=1)
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t or "") for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "good", "x"])
+        rows = [packed(features(t or "")) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "good", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` rows labelled 1 and as many unlabelled rows (any row without its label),
-    all with crc32(doc_id) mod 5 other than 0. Labels of 0 are never read. Which rows is decided by a
-    hash of the id, and texts beyond the sample are not looked at."""
+    """Fits on about `sample` rows labelled 1 and as many unlabelled rows (any row without its label), at most, all
+    with crc32(doc_id) mod 5 other than 0. Labels of 0 are never read. Which rows is decided by a hash of the id; of
+    ids that stand in many rows, by a hash of the features, and rows equal in both count once. Texts beyond the
+    sample are not looked at."""
     small_batches(docs.sparkSession)
     rows = docs.filter((_split() != 0) & F.col("doc_id").isNotNull())
     good = labels.filter("quality = 1").select("doc_id").distinct()
@@ -141,15 +178,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = positive.unionByName(unlabelled)
     texts = rows.select("doc_id", "text").filter(F.col("text").isNotNull())
     found = texts.join(F.broadcast(ids), "doc_id") if ids.count() <= 2 * sample + 1000 else texts.join(ids, "doc_id")
-    got = found.select("doc_id", "good", "text").mapInArrow(_feature_rows, "doc_id long, good boolean, x array<double>").toPandas()
-    got = got.assign(first=[tuple(x) for x in got["x"]]).sort_values(["doc_id", "good", "first"])  # sums must not depend on the order of arrival
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
+    made = found.select("doc_id", "good", "text").mapInArrow(_feature_rows, "doc_id long, good boolean, x binary")
+    made = materialise(made.dropDuplicates(["doc_id", "good", "x"]), "features")
+    counts = {r["good"]: r["n"] for r in made.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("good"), min(1.0, sample / counts.get(True, 1))).otherwise(min(1.0, sample / counts.get(False, 1)))
+    some = made.filter(F.shiftrightunsigned(F.xxhash64(F.lit("row"), "doc_id", "x"), 34) < share * (1 << 30))
+    got = some.toPandas().sort_values(["doc_id", "good", "x"])  # sums must not depend on the order of arrival
+    x = unpacked(got["x"].tolist())
     mark = got["good"].to_numpy(dtype=bool)
     return fit(x[mark], x[~mark])
 
 
 def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
-    return model.score(np.array([features(t or "") for t in texts], dtype=float).reshape(len(texts), len(FEATURES)))
+    return model.score(np.array([features(t or "") for t in texts], dtype=float).reshape(len(texts), len(FEATURES) + 2 * BUCKETS))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
