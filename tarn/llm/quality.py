@@ -87,8 +87,12 @@ class Model:
         cut at two of it; an empty text's are zero."""
         n = len(self.cuts)
         steps = (x[:, :n, None] > self.cuts[None]).reshape(len(x), -1)
-        buckets = np.clip((x[:, n:] - self.mean) / self.spread, -2, 2) * (x[:, n:].sum(axis=1, keepdims=True) > 0) / 4
-        return np.concatenate([np.ones((len(x), 1)), steps, buckets], axis=1)
+        out = np.ones((len(x), 1 + steps.shape[1] + x.shape[1] - n), dtype=np.float32)
+        out[:, 1 : 1 + steps.shape[1]] = steps
+        for low in range(0, len(x), 4096):
+            some = x[low : low + 4096, n:]
+            out[low : low + 4096, 1 + steps.shape[1] :] = np.clip((some - self.mean) / self.spread, -2, 2) * (some.sum(axis=1, keepdims=True) > 0) / 4
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
@@ -106,18 +110,18 @@ def estimated_prior(good: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400) -> np.ndarray:
     """Minimises the non-negative risk with the logistic loss, by Adam over whole samples."""
-    decay = np.full(p.shape[1], DECAY)
+    decay = np.full(p.shape[1], DECAY, dtype=np.float32)
     decay[0], decay[1 + len(FEATURES) * _BINS :] = 0.0, LEXICAL_DECAY / min(len(p), len(u))
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+    w, m, v = (np.zeros(p.shape[1], dtype=np.float32) for _ in range(3))
     for t in range(1, steps + 1):
         sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
-        negative = float(-np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean())
+        negative = float(-np.log1p(-np.minimum(su, 1 - 1e-6)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-6)).mean())
         g_neg = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
         g = prior * (p.T @ (sp - 1)) / len(p) + g_neg if negative >= 0 else -g_neg
         g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+    return w.astype(float)
 
 
 def fit(good: np.ndarray, unlabelled: np.ndarray) -> Model:
@@ -150,7 +154,7 @@ def packed(x: np.ndarray) -> bytes:
 
 def unpacked(rows: list[bytes]) -> np.ndarray:
     raw, n = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), 4 * len(FEATURES) + 2 * BUCKETS), 4 * len(FEATURES)
-    return np.concatenate([np.ascontiguousarray(raw[:, :n]).view("<f4").astype(float), raw[:, n:].astype(float)], axis=1)
+    return np.concatenate([np.ascontiguousarray(raw[:, :n]).view("<f4"), raw[:, n:].astype("<f4")], axis=1)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
