@@ -11,6 +11,7 @@ from tarn.llm.decontamination import leaked_items
 from tarn.llm.fingerprints import fingerprint_edits
 from tarn.llm.html_text import extract
 from tarn.llm.language_model import language_scores
+from tarn.llm.merkle import manifest
 from tarn.llm.mixing import mix
 from tarn.llm.pii import personal_data
 from tarn.llm.sharding import assign_shards
@@ -59,7 +60,11 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op2_max_scoring_text, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op2_max_scoring_text, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots, op12_merkle_manifest)}
 
 ORACLE = {
     "op3_source_mix": r"""
@@ -104,5 +109,54 @@ firsts AS (
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN first_slot END AS first_slot,
        CASE WHEN size = 0 THEN 0 ELSE CAST((take // source_size) * size + greatest(least(start + size, take % source_size) - start, 0) AS BIGINT) END AS taken
 FROM placed LEFT JOIN firsts USING (key, start)
+""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE
+crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, b)) AS t),
+ids AS (
+  SELECT DISTINCT doc_id,
+         xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+             lambda x, c: xor(x // 256, t[xor(x % 256, c) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+  FROM documents, crc_table WHERE doc_id IS NOT NULL),
+fields AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS run,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS number, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM (SELECT f.doc_id, run, sha256(head || number || tail) AS leaf,
+               CASE WHEN coalesce(crc % 7 = 0, false) THEN sha256(head || more || tail) ELSE sha256(head || number || tail) END AS now
+        FROM fields f LEFT JOIN ids USING (doc_id))),
+nodes AS (
+  SELECT run, place, leaf AS h, 0 AS level, count(*) OVER (PARTITION BY run) AS n FROM leaves
+  UNION ALL
+  SELECT run, place // 2, sha256(string_agg(h, '' ORDER BY place)), level + 1, (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY run, place // 2, level, n),
+subroots AS (SELECT run, h AS subroot, level AS height, row_number() OVER (ORDER BY encode(run)) - 1 AS place FROM nodes WHERE n = 1),
+over AS (
+  SELECT place, subroot AS h, 0 AS level, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT place // 2, sha256(string_agg(h, '' ORDER BY place)), level + 1, (n + 1) // 2 FROM over WHERE n > 1 GROUP BY place // 2, level, n),
+top AS (SELECT h AS root, level AS height FROM over WHERE n = 1),
+steps AS (
+  SELECT l.run, l.place AS leaf_place, g.level, (l.place >> g.level) % 2 = 1 AS on_left, s.h AS sibling
+  FROM leaves l JOIN subroots r USING (run), unnest(range(r.height)) g(level)
+  LEFT JOIN nodes s ON s.run = l.run AND s.level = g.level AND s.place = xor(l.place >> g.level, 1)
+  UNION ALL
+  SELECT l.run, l.place, r.height + g.level, (r.place >> g.level) % 2 = 1, s.h
+  FROM leaves l JOIN subroots r USING (run), top, unnest(range(top.height)) g(level)
+  LEFT JOIN over s ON s.level = g.level AND s.place = xor(r.place >> g.level, 1)),
+paths AS (SELECT run, leaf_place, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY ALL),
+folds AS (
+  SELECT run, place AS leaf_place, now AS h, 0 AS level FROM leaves
+  UNION ALL
+  SELECT f.run, f.leaf_place, sha256(CASE WHEN on_left THEN coalesce(sibling, '') || h ELSE h || coalesce(sibling, '') END), f.level + 1
+  FROM folds f JOIN steps s ON s.run = f.run AND s.leaf_place = f.leaf_place AND s.level = f.level),
+ends AS (SELECT run, leaf_place, arg_max(h, level) AS folded_root FROM folds GROUP BY ALL)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots USING (run) CROSS JOIN top JOIN ends e ON e.run = l.run AND e.leaf_place = l.place
+LEFT JOIN paths p ON p.run = l.run AND p.leaf_place = l.place
 """,
 }
