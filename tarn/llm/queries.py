@@ -14,6 +14,7 @@ from tarn.llm.language_model import language_scores
 from tarn.llm.merkle import manifest
 from tarn.llm.mixing import mix
 from tarn.llm.pii import personal_data
+from tarn.llm.ranking import search
 from tarn.llm.sharding import assign_shards
 from tarn.llm.simhash import near_duplicates
 from tarn.llm.suffixes import without_repeats
@@ -64,7 +65,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op2_max_scoring_text, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots, op12_merkle_manifest)}
+def op13_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op2_max_scoring_text, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots, op12_merkle_manifest, op13_tput_search)}
 
 ORACLE = {
     "op3_source_mix": r"""
@@ -158,5 +163,22 @@ ends AS (SELECT run, leaf_place, arg_max(h, level) AS folded_root FROM folds GRO
 SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM leaves l JOIN subroots USING (run) CROSS JOIN top JOIN ends e ON e.run = l.run AND e.leaf_place = l.place
 LEFT JOIN paths p ON p.run = l.run AND p.leaf_place = l.place
+""",
+    "op13_tput_search": r"""
+WITH words AS (
+  SELECT doc_id, copy, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS copy FROM documents)),
+asked AS (
+  SELECT item_id, item, term, count(*) AS times
+  FROM (SELECT item_id, item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT item_id, text, row_number() OVER () AS item FROM benchmark)) GROUP BY ALL),
+postings AS (SELECT doc_id, copy, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY copy) AS n FROM words GROUP BY doc_id, copy, term),
+sizes AS (SELECT count(DISTINCT copy) AS texts, count(*) AS terms FROM words),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM postings, sizes GROUP BY term, texts),
+scores AS (
+  SELECT item_id, item, doc_id, copy, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n::BIGINT * texts) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), sizes GROUP BY item_id, item, doc_id, copy)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
 """,
 }
