@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import table
-from tarn.llm import quality
+from tarn.llm import minhash, quality
 from tarn.llm.decontamination import leaked_items
 from tarn.llm.fingerprints import fingerprint_edits
 from tarn.llm.html_text import extract
@@ -61,6 +61,10 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op2_max_scoring_text, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots, op12_merkle_manifest, op13_tput_search)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_leaks, op2_max_scoring_text, op3_source_mix, op4_undisguised_pii, op5_suffix_array_dedup, op6_jump_shards, op7_suffix_tree_scores, op8_pu_quality, op9_multiset_fingerprint, op10_simhash_pivots, op11_minhash_postings, op12_merkle_manifest, op13_tput_search)}
 
 ORACLE = {
     "op3_source_mix": r"""
@@ -114,6 +118,25 @@ firsts AS (
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN first_slot END AS first_slot,
        CASE WHEN size = 0 THEN 0 ELSE CAST((take // source_size) * size + greatest(least(start + size, take % source_size) - start, 0) AS BIGINT) END AS taken
 FROM placed LEFT JOIN firsts USING (key, start)
+""",
+    "op11_minhash_postings": r"""
+WITH RECURSIVE
+words AS (
+  SELECT DISTINCT text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT text, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+numbered AS (SELECT row_number() OVER () AS node, * FROM (SELECT list_sort(s) AS s FROM sets GROUP BY ALL) WHERE len(s) > 0),
+named AS (SELECT text, coalesce(node, 0) AS node, len(t.s) AS n FROM sets t LEFT JOIN numbered m ON list_sort(t.s) = m.s),
+postings AS (SELECT node, len(s) AS n, unnest(s) AS shingle FROM numbered),
+links AS (
+  SELECT a.node AS u, b.node AS v FROM postings a JOIN postings b ON a.shingle = b.shingle AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(node, other) AS (SELECT node, node FROM numbered UNION SELECT r.node, b.v FROM reach r JOIN ways b ON r.other = b.u),
+ids AS (SELECT d.doc_id, n.node, n.n FROM documents d JOIN named n ON d.text IS NOT DISTINCT FROM n.text),
+lows AS (SELECT r.node, min(doc_id) AS component_id FROM reach r JOIN ids ON ids.node = r.other GROUP BY r.node),
+found AS (SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM ids LEFT JOIN lows USING (node))
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM found
 """,
     "op12_merkle_manifest": r"""
 WITH RECURSIVE
