@@ -4,11 +4,12 @@ The index has a list for each term that the items hold, sorted by impact, which
 of the term's weight; a long list goes over several partitions. Texts of equal terms in equal order are one posting
 with their number of copies, so a crowd of copies is ranked once.
 
-1. Each list's TOP postings give partial scores; an item's TOP-th largest is a lower bound of its last result.
-2. With m lists, a posting that adds less than bound / m to an item can't lift a text on its own: each list hands over
-   those that add as much or more. A text met in none of them is out. Partial scores raise the bound; a text stays if its
-   partial score and the most that its other lists may add reach the bound.
-3. The exact scores of those that stay are looked up in all lists.
+1. The first HEAD postings of each list give partial scores; the exact scores of the texts that lead an item's give a lower
+   bound of its last result.
+2. With m lists and a threshold of T, a text that no list gives T or more has less than m * T. T is half of bound / m: every list
+   hands over what adds that much or more to an item. Postings are dealt by text once, whatever the number of items that
+   read them, and added up where they are. A text stays if its sum and T for each list that has not handed it over reach the bound.
+3. The sums raise the bound, and the exact scores of the texts that still reach it are looked up in all lists.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import materialise, small_batches
 
-#: Results of an item.
-TOP = 10
+#: Results of an item, and postings of a list's head.
+TOP, HEAD = 10, 100
 #: What stands between terms: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _COUNTED = "term string, bag binary, n long, tf long, id long"
@@ -63,16 +64,21 @@ def weight(texts: int) -> Column:
     return F.floor(1000 * F.log(F.lit(float(2 * texts + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
 
 
-def _last(partial: DataFrame, top: int) -> DataFrame:
-    """item and bound, the top-th largest partial score, 0 if there are fewer."""
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("part")))
-    heads = partial.select("item", "part").withColumn("rank", rank).filter(F.col("rank") <= top)
-    return heads.groupBy("item").agg(F.when(F.count(F.lit(1)) == top, F.min("part")).otherwise(0).alias("bound"))
+def _leaders(partial: DataFrame, score: str, top: int) -> DataFrame:
+    """The rows of each item with the top largest scores, as many as there are."""
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(score), "bag"))
+    return partial.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank")
+
+
+def _bounds(partial: DataFrame, score: str, top: int) -> DataFrame:
+    """item and bound, the top-th largest score, 0 if there are fewer."""
+    bound = F.when(F.count(F.lit(1)) == top, F.min(score)).otherwise(0).alias("bound")
+    return _leaders(partial.select("item", "bag", score), score, top).groupBy("item").agg(bound)
 
 
 def indexed(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(postings, members, texts): term, bag, impact and copies for the given terms, the longest part of a list in order;
-    bag and doc_id of every document with a term; their number."""
+    """(postings, members, texts): term, bag, impact, copies and place of the postings of the given terms, written in order
+    of term and falling impact (places ascend); bag and doc_id of every document with a term; the number of these."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(counted, _COUNTED)
     rows = rows.join(terms.withColumn("known", F.lit(True)), "term", "left").filter(F.col("term").isNull() | F.col("known"))
     rows = materialise(rows.drop("known"), "terms")
@@ -82,33 +88,41 @@ def indexed(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, in
     once = once.select("term", "bag", impact(texts, length).alias("impact"), "copies")
     order = [F.col("term"), F.desc("impact"), F.col("bag")]
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = materialise(once.repartitionByRange(ranges, *order).sortWithinPartitions(*order), "postings")
-    return postings, whole.select("bag", F.col("id").alias("doc_id")), texts
+    lists = once.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    return materialise(lists, "postings"), whole.select("bag", F.col("id").alias("doc_id")), texts
+
+
+def looked_up(some: DataFrame, lists: DataFrame, postings: DataFrame) -> DataFrame:
+    """item, bag and score, the exact one, of some items and bags."""
+    bags = materialise(some.select("bag").distinct(), "bags")
+    own = postings.select("term", "bag", "impact").join(bags, "bag", "left_semi")
+    wanted = some.select("item", "bag").join(lists.select("item", "term", "weight"), "item")
+    return own.join(wanted, ["term", "bag"]).groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
 
 
 def best(postings: DataFrame, lists: DataFrame, top: int = TOP) -> DataFrame:
     """item, bag, score: of each item the texts whose exact score is among its top largest, ties included.
 
-    lists: item, term and weight (above 0), once for each list that an item reads.
+    lists: item, term, weight (above 0) and first (the place of the list's first posting), once for each list that an item reads.
     """
+    lists = materialise(lists, "lists")
+    firsts = materialise(lists.select("term", "first").distinct(), "firsts")
+    heads = postings.join(firsts, "term").filter(F.col("place") - F.col("first") < HEAD).select("term", "bag", "impact")
+    partial = heads.join(lists, "term").groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"))
+    leading = looked_up(materialise(_leaders(partial, "part", 2 * top), "leaders"), lists, postings)
     sizes = lists.groupBy("item").agg(F.count(F.lit(1)).alias("m"))
-    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "bag"))
-    heads = postings.select("term", "bag", "impact").withColumn("rank", rank).filter(F.col("rank") <= top)
-    first = heads.join(lists, "term").groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"))
-    limits = sizes.join(_last(first, top), "item").withColumn("least", F.greatest(F.lit(1), F.expr("(bound + m - 1) div m"))).drop("bound")
+    limits = sizes.join(_bounds(leading, "score", top), "item").withColumn("least", F.expr("greatest(1, (bound + 2 * m - 1) div (2 * m))"))
     limits = materialise(limits, "limits")
-    lists = materialise(lists.join(limits, "item").withColumn("floor", F.expr("(least + weight - 1) div weight")), "lists")
-    floors = lists.groupBy("term").agg(F.min("floor").alias("lowest"))
-    tall = postings.select("term", "bag", "impact").join(materialise(floors, "floors"), "term").filter(F.col("impact") >= F.col("lowest"))
-    seen = tall.join(lists.select("term", "item", "weight", "floor"), "term").filter(F.col("impact") >= F.col("floor"))
-    partial = seen.groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"), F.count(F.lit(1)).alias("met"))
+    reads = materialise(lists.join(limits, "item").select("term", "item", "weight", F.expr("(least + weight - 1) div weight").alias("floor")), "reads")
+    floors = materialise(reads.groupBy("term").agg(F.min("floor").alias("lowest")), "floors")
+    handed = postings.select("term", "bag", "impact").join(floors, "term").filter(F.col("impact") >= F.col("lowest")).drop("lowest").repartition("bag")
+    handed = handed.join(reads, "term").filter(F.col("impact") >= F.col("floor"))
+    partial = handed.groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"), F.count(F.lit(1)).alias("met"))
+    reach = (F.col("part") + (F.col("m") - F.col("met")) * (F.col("least") - 1)).alias("reach")
+    partial = partial.join(limits, "item").select("item", "bag", "part", reach, "bound").filter("reach >= bound").drop("bound")
     partial = materialise(partial, "partial")
-    limits = limits.join(_last(partial, top), "item")
-    most = F.col("part") + (F.col("m") - F.col("met")) * (F.col("least") - 1)
-    stay = materialise(partial.join(limits, "item").filter(most >= F.col("bound")).select("item", "bag", "part", "met", "m"), "candidates")
-    wanted = stay.filter("met < m").select("item", "bag").join(lists.select("item", "term", "weight"), "item")
-    looked_up = wanted.join(postings.select("term", "bag", "impact"), ["term", "bag"]).groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
-    scores = looked_up.unionByName(stay.filter("met = m").select("item", "bag", F.col("part").alias("score"))).filter("score > 0")
+    stay = materialise(partial.join(_bounds(partial, "part", top), "item").filter("reach >= bound").select("item", "bag"), "candidates")
+    scores = looked_up(stay, lists, postings).filter("score > 0")
     place = F.rank().over(Window.partitionBy("item").orderBy(F.desc("score")))
     return scores.withColumn("place", place).filter(F.col("place") <= top).drop("place")
 
@@ -124,9 +138,10 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     items = materialise(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
     asked = materialise(items.select("item", "text").mapInArrow(counted, _COUNTED).filter(F.col("term").isNotNull()).select(F.col("id").alias("item"), "term", F.col("tf").alias("times")), "asked")
     postings, members, texts = indexed(docs, materialise(asked.select("term").distinct(), "vocabulary"))
-    weights = postings.groupBy("term").agg(F.sum("copies").alias("df")).select("term", weight(texts).alias("weight"))
-    lists = asked.join(weights, "term").select("item", "term", (F.col("times") * F.col("weight")).alias("weight")).filter("weight > 0")
-    found = materialise(best(postings, materialise(lists, "weights"), top), "best")
+    known = postings.groupBy("term").agg(F.sum("copies").alias("df"), F.min("place").alias("first"))
+    known = known.select("term", weight(texts).alias("weight"), "first")
+    lists = asked.join(known, "term").select("item", "term", (F.col("times") * F.col("weight")).alias("weight"), "first").filter("weight > 0")
+    found = materialise(best(postings, lists, top), "best")
     own = Window.partitionBy("bag").orderBy(F.col("doc_id").asc_nulls_last())
     of_bags = members.join(found.select("bag").distinct(), "bag").withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= top)
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "bag"))
