@@ -35,6 +35,9 @@ COORDINATES, MATCHES = 64, 33
 PREFIX = COORDINATES - MATCHES + 1
 #: Rows of a list that one task merges, and rows and bytes of sets; larger ones are cut into blocks that meet in pairs.
 LIST_ROWS, SET_ROWS, SET_BYTES = 4096, 1024, 4 << 20
+#: Bits of the map of texts whose sets are wanted: a table of 2 ** 18 rows at most, which keeps most others from being
+#: shuffled and lets all pass, at that cost, once it is full.
+MAP_BITS = 24
 #: Words whose hashes a task keeps.
 KNOWN = 200_000
 _SKETCH = ["s0", "s1", "s2", "s3"]
@@ -250,8 +253,12 @@ def _sets_of(some: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node and shingles of some nodes, made again from the text of the lowest row of each."""
     names = ["none_", "d_", "th_"]
     rows = some.select("node").distinct().join(nodes, "node").select("node", F.col("low.none").alias("none_"), F.coalesce("low.doc_id", F.lit(0)).alias("d_"), F.col("low.th").alias("th_"))
+    rows = materialise(rows, "wanted")
+    place, bit = F.shiftright(F.col("th_").bitwiseAND((1 << MAP_BITS) - 1), 6).alias("place_"), F.expr("shiftleft(1L, cast(th_ & 63 as int))")
+    bits = rows.groupBy(place).agg(F.bit_or(bit).alias("bits_"))
     texts = docs.select(F.col("doc_id").isNull().alias("none_"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d_"), F.xxhash64(text_or_empty()).alias("th_"), "text")
-    found = texts.join(materialise(rows, "wanted"), names).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
+    texts = texts.select("*", place).join(F.broadcast(bits), "place_").filter(F.col("bits_").bitwiseAND(bit) != 0).select(*names, "text")
+    found = texts.join(rows.hint("shuffle_merge"), names).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
     return materialise(found.dropDuplicates(["node"]), "sets")
 
 
