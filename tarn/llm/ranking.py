@@ -14,6 +14,7 @@ with their number of copies, so a crowd of copies is ranked once.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,26 @@ from tarn.llm.common import materialise, small_batches
 TOP, HEAD = 10, 100
 #: What stands between terms: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_COUNTED = "term string, bag binary, n long, tf long, id long"
+#: Bytes of text that are counted at once.
+SLICE = 1 << 18
+_COUNTED = "term string, b0 long, b1 long, n long, tf long, id long"
+_BAG = ["b0", "b1"]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about SLICE bytes of text, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to a row for each term of a text (bag: a hash of its terms in order, n: their number, tf: the term's
-    occurrences) and one for the text itself (null term). A text without terms has no rows."""
-    for batch in batches:
+    """(id, text) to a row for each term of a text (b0, b1: 128 bits of a hash of its terms in order, n: their number, tf: the
+    term's occurrences) and one for the text itself (null term). A text without terms has no rows."""
+    for batch in itertools.chain.from_iterable(map(_slices, batches)):
         lower = pc.ascii_lower(pc.fill_null(batch.column(1), ""))
         terms = pc.utf8_trim(pc.replace_substring_regex(lower, BETWEEN, " "), " ")
         split = pc.split_pattern(terms, " ")
@@ -44,13 +58,15 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.table({"row": row.filter(some), "term": term.filter(some)})
         counts = pairs.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
         n = np.bincount(pairs.column("row").to_numpy(), minlength=batch.num_rows)
-        bags = pa.array([xxhash.xxh3_128_digest(t.as_buffer()) for t in terms], pa.binary())
+        digests = b"".join(xxhash.xxh3_128_digest(t.as_buffer()) for t in terms)
+        bags = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
         whole = np.nonzero(n)[0]
         at = np.concatenate([whole, counts.column("row").to_numpy()])
         names = pa.concat_arrays([pa.nulls(len(whole), pa.string()), *counts.column("term").chunks])
         tf = np.concatenate([np.zeros(len(whole), dtype=np.int64), counts.column("count_all").to_numpy()])
-        columns = [names, bags.take(pa.array(at)), pa.array(n[at]), pa.array(tf), batch.column(0).take(pa.array(at))]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "bag", "n", "tf", "id"])
+        columns = [names, pa.array(bags[at, 0]), pa.array(bags[at, 1]), pa.array(n[at]), pa.array(tf), batch.column(0).take(pa.array(at))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "b0", "b1", "n", "tf", "id"])
+        pa.default_memory_pool().release_unused()
 
 
 def impact(texts: int, terms: int) -> Column:
@@ -66,38 +82,38 @@ def weight(texts: int) -> Column:
 
 def _leaders(partial: DataFrame, score: str, top: int) -> DataFrame:
     """The rows of each item with the top largest scores, as many as there are."""
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(score), "bag"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(score), *_BAG))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= top).drop("rank")
 
 
 def _bounds(partial: DataFrame, score: str, top: int) -> DataFrame:
     """item and bound, the top-th largest score, 0 if there are fewer."""
     bound = F.when(F.count(F.lit(1)) == top, F.min(score)).otherwise(0).alias("bound")
-    return _leaders(partial.select("item", "bag", score), score, top).groupBy("item").agg(bound)
+    return _leaders(partial.select("item", *_BAG, score), score, top).groupBy("item").agg(bound)
 
 
 def indexed(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(postings, members, texts): term, bag, impact, copies and place of the postings of the given terms, written in order
+    """(postings, members, texts): term, bag (b0 and b1), impact, copies and place of the postings of the given terms, written in order
     of term and falling impact (places ascend); bag and doc_id of every document with a term; the number of these."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(counted, _COUNTED)
     rows = rows.join(terms.withColumn("known", F.lit(True)), "term", "left").filter(F.col("term").isNull() | F.col("known"))
     rows = materialise(rows.drop("known"), "terms")
     whole = rows.filter(F.col("term").isNull())
     texts, length = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    once = rows.filter(F.col("term").isNotNull()).groupBy("term", "bag").agg(F.max("n").alias("n"), F.max("tf").alias("tf"), F.count(F.lit(1)).alias("copies"))
-    once = once.select("term", "bag", impact(texts, length).alias("impact"), "copies")
-    order = [F.col("term"), F.desc("impact"), F.col("bag")]
+    once = rows.filter(F.col("term").isNotNull()).groupBy("term", *_BAG).agg(F.max("n").alias("n"), F.max("tf").alias("tf"), F.count(F.lit(1)).alias("copies"))
+    once = once.select("term", *_BAG, impact(texts, length).alias("impact"), "copies")
+    order = [F.col("term"), F.desc("impact"), *map(F.col, _BAG)]
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = once.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    return materialise(lists, "postings"), whole.select("bag", F.col("id").alias("doc_id")), texts
+    return materialise(lists, "postings"), whole.select(*_BAG, F.col("id").alias("doc_id")), texts
 
 
 def looked_up(some: DataFrame, lists: DataFrame, postings: DataFrame) -> DataFrame:
     """item, bag and score, the exact one, of some items and bags."""
-    bags = materialise(some.select("bag").distinct(), "bags")
-    own = postings.select("term", "bag", "impact").join(bags, "bag", "left_semi")
-    wanted = some.select("item", "bag").join(lists.select("item", "term", "weight"), "item")
-    return own.join(wanted, ["term", "bag"]).groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    bags = materialise(some.select(*_BAG).distinct(), "bags")
+    own = postings.select("term", *_BAG, "impact").join(bags, _BAG, "left_semi")
+    wanted = some.select("item", *_BAG).join(lists.select("item", "term", "weight"), "item")
+    return own.join(wanted, ["term", *_BAG]).groupBy("item", *_BAG).agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
 
 
 def best(postings: DataFrame, lists: DataFrame, top: int = TOP) -> DataFrame:
@@ -107,21 +123,21 @@ def best(postings: DataFrame, lists: DataFrame, top: int = TOP) -> DataFrame:
     """
     lists = materialise(lists, "lists")
     firsts = materialise(lists.select("term", "first").distinct(), "firsts")
-    heads = postings.join(firsts, "term").filter(F.col("place") - F.col("first") < HEAD).select("term", "bag", "impact")
-    partial = heads.join(lists, "term").groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"))
+    heads = postings.join(firsts, "term").filter(F.col("place") - F.col("first") < HEAD).select("term", *_BAG, "impact")
+    partial = heads.join(lists, "term").groupBy("item", *_BAG).agg(F.sum(F.col("weight") * F.col("impact")).alias("part"))
     leading = looked_up(materialise(_leaders(partial, "part", 2 * top), "leaders"), lists, postings)
     sizes = lists.groupBy("item").agg(F.count(F.lit(1)).alias("m"))
     limits = sizes.join(_bounds(leading, "score", top), "item").withColumn("least", F.expr("greatest(1, (bound + 2 * m - 1) div (2 * m))"))
     limits = materialise(limits, "limits")
     reads = materialise(lists.join(limits, "item").select("term", "item", "weight", F.expr("(least + weight - 1) div weight").alias("floor")), "reads")
     floors = materialise(reads.groupBy("term").agg(F.min("floor").alias("lowest")), "floors")
-    handed = postings.select("term", "bag", "impact").join(floors, "term").filter(F.col("impact") >= F.col("lowest")).drop("lowest").repartition("bag")
+    handed = postings.select("term", *_BAG, "impact").join(floors, "term").filter(F.col("impact") >= F.col("lowest")).drop("lowest").repartition(*_BAG)
     handed = handed.join(reads, "term").filter(F.col("impact") >= F.col("floor"))
-    partial = handed.groupBy("item", "bag").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"), F.count(F.lit(1)).alias("met"))
+    partial = handed.groupBy("item", *_BAG).agg(F.sum(F.col("weight") * F.col("impact")).alias("part"), F.count(F.lit(1)).alias("met"))
     reach = (F.col("part") + (F.col("m") - F.col("met")) * (F.col("least") - 1)).alias("reach")
-    partial = partial.join(limits, "item").select("item", "bag", "part", reach, "bound").filter("reach >= bound").drop("bound")
+    partial = partial.join(limits, "item").select("item", *_BAG, "part", reach, "bound").filter("reach >= bound").drop("bound")
     partial = materialise(partial, "partial")
-    stay = materialise(partial.join(_bounds(partial, "part", top), "item").filter("reach >= bound").select("item", "bag"), "candidates")
+    stay = materialise(partial.join(_bounds(partial, "part", top), "item").filter("reach >= bound").select("item", *_BAG), "candidates")
     scores = looked_up(stay, lists, postings).filter("score > 0")
     place = F.rank().over(Window.partitionBy("item").orderBy(F.desc("score")))
     return scores.withColumn("place", place).filter(F.col("place") <= top).drop("place")
@@ -142,8 +158,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     known = known.select("term", weight(texts).alias("weight"), "first")
     lists = asked.join(known, "term").select("item", "term", (F.col("times") * F.col("weight")).alias("weight"), "first").filter("weight > 0")
     found = materialise(best(postings, lists, top), "best")
-    own = Window.partitionBy("bag").orderBy(F.col("doc_id").asc_nulls_last())
-    of_bags = members.join(found.select("bag").distinct(), "bag").withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= top)
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "bag"))
-    ranked = found.join(of_bags, "bag").withColumn("rank", rank).filter(F.col("rank") <= top)
+    own = Window.partitionBy(*_BAG).orderBy(F.col("doc_id").asc_nulls_last())
+    of_bags = members.join(found.select(*_BAG).distinct(), _BAG).withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= top)
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), *_BAG))
+    ranked = found.join(of_bags, _BAG).withColumn("rank", rank).filter(F.col("rank") <= top)
     return ranked.join(items.select("item", "item_id"), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
