@@ -102,12 +102,18 @@ class Config:
     company_layer: bool = False
 
 
-def screened(rows: DataFrame, config: Config, judge: Column | None = None) -> DataFrame:
+def _with_others(rows: DataFrame, others: DataFrame | None) -> DataFrame:
+    rows = rows.select("id", "content_key", "first_seen_at", "notified_at")
+    return rows if others is None else rows.unionByName(others.select(*rows.columns))
+
+
+def screened(rows: DataFrame, config: Config, judge: Column | None = None, others: DataFrame | None = None) -> DataFrame:
     """rows with the state after screening. rows: id, page_id, title, company, location, compensation,
     content_key, first_seen_at, notified_at, filter_status, fallback (a page's own company, or null).
 
     Only the oldest SCREEN pending rows of a page are looked at. judge: the verdict that a model gave a row,
     null where it gave none (the row stays pending). Without a profile what no keyword blocks is skipped.
+    others: id, content_key, first_seen_at, notified_at of rows kept elsewhere, which count as sent.
     """
     p = config.profile
     pending = F.coalesce(F.col("filter_status") == "pending", F.lit(False))
@@ -126,7 +132,7 @@ def screened(rows: DataFrame, config: Config, judge: Column | None = None) -> Da
     rows = rows.withColumn("said", F.when(open_ & F.lit(p.has_content()), said))
     match = F.coalesce(F.col("said.verdict") == "match", F.lit(False))
     columns = ["id", "content_key", "first_seen_at", "notified_at"]
-    dup = duplicates(every.select(*columns), asked=rows.filter(match).select(*columns))
+    dup = duplicates(_with_others(every, others), asked=rows.filter(match).select(*columns))
     rows = rows.join(dup.withColumnRenamed("duplicate_of", "dup"), "id", "left")
     skip = open_ & F.lit(not p.has_content())
     to_company = F.lit(config.company_layer) & F.coalesce("company", "fallback").isNotNull()
@@ -140,10 +146,10 @@ def screened(rows: DataFrame, config: Config, judge: Column | None = None) -> Da
     )
 
 
-def outbox(rows: DataFrame, now: Column) -> DataFrame:
+def outbox(rows: DataFrame, now: Column, others: DataFrame | None = None) -> DataFrame:
     """id, page_id, duplicate_of, send for the queued rows of one run: the oldest NOTIFY of a page; a row is
     suppressed if its content was sent within the horizon or comes earlier in this run."""
     queued = batch_cap(rows.filter("pending_notify and notified_at is null").select("id", "page_id", "content_key", "first_seen_at"), NOTIFY)
-    dup = duplicates(rows.select("id", "content_key", "first_seen_at", "notified_at"), now, queued)
+    dup = duplicates(_with_others(rows, others), now, queued)
     out = queued.join(dup, "id", "left").withColumn("first", first_of_batch(queued))
     return out.select("id", "page_id", "duplicate_of", (F.col("duplicate_of").isNull() & F.col("first")).alias("send"))

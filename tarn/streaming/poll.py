@@ -25,10 +25,12 @@ STATE = (
 
 
 def run_batch(
-    state: DataFrame, crawl: DataFrame, now: Column, config: Config, judge: Column | None = None, cut: Callable[[DataFrame], DataFrame] = DataFrame.persist
+    state: DataFrame, crawl: DataFrame, now: Column, config: Config, judge: Column | None = None, cut: Callable[[DataFrame], DataFrame] = DataFrame.persist,
+    others: DataFrame | None = None,
 ) -> DataFrame:
     """The postings after one run. cut: what is done to the two intermediate tables that are read several
-    times; they are persisted, and made anew where an executor that held them is lost.
+    times; they are persisted, and made anew where an executor that held them is lost. others: id, content_key,
+    first_seen_at, notified_at of rows that are not part of the state and count as sent.
 
     crawl: page_id, pos, dedupe_key, title, company, location, compensation, url, link_source, link_note,
     link_score, first_crawl_done. Rows are keyed, upserted, screened and sent, in this order.
@@ -41,13 +43,13 @@ def run_batch(
         F.lit(False).alias("negative_keyword_filtered"),
     )
     rows = cut(upsert(state, cut(new), now))
-    after = screened(rows.withColumn("fallback", F.lit(None).cast("string")), config, judge).drop("page_id")
+    after = screened(rows.withColumn("fallback", F.lit(None).cast("string")), config, judge, others).drop("page_id")
     changed = [c for c in after.columns if c != "id"]
     rows = rows.join(after.select("id", *[F.col(c).alias(f"new_{c}") for c in changed]), "id")
     touched = F.col("new_filter_status") != F.col("filter_status")
     rows = rows.select(*[c for c in state.columns if c not in changed], *[F.when(touched, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in changed])
     rows = cut(rows)
-    sent = outbox(rows, now).select("id", "send", F.col("duplicate_of").alias("dup"), F.lit(True).alias("queued"))
+    sent = outbox(rows, now, others).select("id", "send", F.col("duplicate_of").alias("dup"), F.lit(True).alias("queued"))
     rows = rows.join(sent, "id", "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
     return rows.withColumns({
         "notified_at": F.when(F.col("send"), now).otherwise(F.col("notified_at")), "duplicate_of": F.coalesce("dup", "duplicate_of"), "pending_notify": F.col("pending_notify") & ~F.col("queued"),
