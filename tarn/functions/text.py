@@ -1,14 +1,11 @@
-"""Text normalisation as column expressions; nothing here leaves the JVM but nfkc."""
+"""Text normalisation as column expressions; nothing here leaves the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Words that carry nothing in an anchor's or a title's text.
 STOPWORDS = ("a", "an", "the", "at", "in", "of", "for", "and", "job", "jobs", "role", "apply", "view", "remote")
@@ -20,10 +17,9 @@ LEGAL_SUFFIXES = (
 _WIDE_SPACE = r"[\s ﻿]"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC; only needed where compatibility characters occur, so callers keep it off the hot path."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(s: Column) -> Column:
+    """NFKC. ASCII texts are their own; others go through the JVM's Unicode library, still without leaving it."""
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), s, F.lit(True))).otherwise(s)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,8 +41,8 @@ def blank_to_null(s: Column) -> Column:
 
 
 def norm_text(s: Column) -> Column:
-    """Lower case; runs of what is neither letter nor digit become one space."""
-    return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
+    """NFKC in lower case; runs of what is neither letter nor digit become one space."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(s)), r"[^\p{L}\p{N}]+", " "))
 
 
 def ascii_text(s: Column) -> Column:
@@ -80,7 +76,7 @@ def tokens(s: Column) -> Column:
 
 def company_name(s: Column) -> Column:
     """Punctuation to spaces, legal forms off the end as long as a word is left before them."""
-    spaced = F.trim(F.regexp_replace(F.lower(s), r"[.,'’\"“”&()\-–—/\s]+", " "))
+    spaced = F.trim(F.regexp_replace(F.lower(nfkc(s)), r"[.,'’\"“”&()\-–—/\s]+", " "))
     return F.regexp_replace(spaced, f"( ({'|'.join(LEGAL_SUFFIXES)}))+$", "")
 
 

@@ -63,19 +63,28 @@ def duplicates(rows: DataFrame, now: Column | None = None, asked: DataFrame | No
     horizon before `now`; without it, within the horizon before the row's own first_seen_at.
 
     rows: id, content_key, first_seen_at, notified_at. With a common `now` each key is first reduced to its
-    two earliest rows. Without it, both sides are dealt by (key, fortnight), so that a popular key is spread
-    over time, and rows of one key and instant are reduced to two.
+    two earliest rows. Without it, what a row asks for is the next one sent from fourteen days before it on: rows sent and
+    rows asking are put in one order of time, and a running window carries the nearest one sent, so the work is linear in a key's
+    rows. Keys are dealt by fortnights, so that a popular one is spread over time.
     """
     asked = (rows if asked is None else asked).filter("content_key is not null").select("id", "content_key", F.col("first_seen_at").alias("at"))
     sent = rows.filter("content_key is not null and notified_at is not null").select("content_key", F.col("id").alias("dup_id"), F.col("notified_at").alias("dup_at"))
     if now is not None:
         met = asked.join(_two_earliest(sent.filter(F.col("dup_at") >= now - F.expr(HORIZON)), "content_key"), "content_key").filter("id != dup_id")
-    else:
-        fortnight = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (14 * 86400)).cast("long")
-        near = asked.withColumn("period", F.explode(F.array(fortnight(F.col("at")), fortnight(F.col("at")) - 1)))
-        met = near.join(_two_earliest(sent, "content_key", "dup_at").withColumn("period", fortnight(F.col("dup_at"))), ["content_key", "period"])
-        met = met.filter((F.col("id") != F.col("dup_id")) & (F.col("dup_at") <= F.col("at")) & (F.col("dup_at") >= F.col("at") - F.expr(HORIZON)))
-    return met.groupBy("id").agg(F.min(F.struct("dup_at", "dup_id")).alias("m")).select("id", F.col("m.dup_id").alias("duplicate_of"))
+        return met.groupBy("id").agg(F.min(F.struct("dup_at", "dup_id")).alias("m")).select("id", F.col("m.dup_id").alias("duplicate_of"))
+    stamp = lambda c: F.unix_micros(c.cast("timestamp"))
+    fortnight = lambda t: F.floor(F.col(t) / (14 * 86_400_000_000)).cast("long")
+    own = sent.select("content_key", stamp(F.col("dup_at")).alias("time"), F.col("dup_id").alias("sent_id"))
+    after = F.lead(F.struct("time", "sent_id")).over(Window.partitionBy("content_key", "period").orderBy("time", "sent_id"))
+    # A row sent is in its own fortnight and in the one before: what is asked for begins in one of them.
+    own = own.withColumn("period", F.explode(F.array(fortnight("time"), fortnight("time") - 1)))
+    own = own.select("content_key", "period", "time", "sent_id", F.struct(F.struct("time", "sent_id").alias("own"), after.alias("next")).alias("sent"))
+    question = asked.filter("at is not null").select("content_key", stamp(F.col("at") - F.expr(HORIZON)).alias("time"), "id", stamp(F.col("at")).alias("until")).withColumn("period", fortnight("time"))
+    both = own.unionByName(question, allowMissingColumns=True)
+    latest_first = Window.partitionBy("content_key", "period").orderBy(F.desc("time"), F.col("sent_id").isNull(), F.desc("sent_id")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("nearest", F.last("sent", ignorenulls=True).over(latest_first)).filter("id is not null")
+    found = F.when(F.col("nearest.own.sent_id") == F.col("id"), F.col("nearest.next")).otherwise(F.col("nearest.own"))
+    return met.withColumn("found", found).filter("found.time <= until").select("id", F.col("found.sent_id").alias("duplicate_of"))
 
 
 def first_of_batch(rows: DataFrame) -> Column:
@@ -94,17 +103,13 @@ def survivors(rows: DataFrame) -> DataFrame:
 
 
 def backfilled_keys(rows: DataFrame) -> DataFrame:
-    """rows with dedupe_key replaced by their stored form where no other row of the page has that key."""
+    """rows with dedupe_key replaced by their stored form where no other row of the page has that key.
+
+    How many rows have a key is counted from (page_id, dedupe_key) alone, and joined to the pair of page and new key.
+    """
     form = F.nullif(F.regexp_replace(F.lower(stored_form(F.col("url"))), "/$", ""), F.lit(""))
-    rows = rows.withColumn("new_key", form)
-    # Old and new keys meet once; a new key is free if no row has it, or only the row itself.
-    whole = F.struct(*[c for c in rows.columns if c not in ("page_id", "new_key")])
-    moved = rows.filter("new_key is not null").select("page_id", F.col("new_key").alias("key"), whole.alias("row"))
-    taken = rows.select("page_id", F.col("dedupe_key").alias("key"), F.lit(None).cast(moved.schema["row"].dataType).alias("row"))
-    met = moved.unionByName(taken).withColumn("n", F.count_if(F.col("row").isNull()).over(Window.partitionBy("page_id", "key"))).filter("row is not null")
-    others = F.col("n") - (F.col("row.dedupe_key") == F.col("key")).cast("int")
-    kept = [c for c in rows.columns if c != "new_key"]
-    out = met.withColumn("dedupe_key", F.when(others > 0, F.col("row.dedupe_key")).otherwise(F.col("key"))).select(
-        *[F.col(c) if c in ("page_id", "dedupe_key") else F.col(f"row.{c}").alias(c) for c in kept]
-    )
-    return out.unionByName(rows.filter("new_key is null").select(*kept))
+    holders = rows.groupBy("page_id", F.col("dedupe_key").alias("new_key")).agg(F.count(F.lit(1)).alias("holders_"))
+    met = rows.withColumn("new_key", form).join(holders, ["page_id", "new_key"], "left")
+    others = F.coalesce("holders_", F.lit(0)) - (F.col("dedupe_key") == F.col("new_key")).cast("int")
+    taken = F.col("new_key").isNull() | (F.coalesce(others, F.col("holders_"), F.lit(0)) > 0)
+    return met.select(*[F.when(taken, F.col("dedupe_key")).otherwise(F.col("new_key")).alias(c) if c == "dedupe_key" else F.col(c) for c in rows.columns])

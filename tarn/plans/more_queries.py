@@ -263,3 +263,11 @@ def markdown_links(spark, sf_dir):
     marked = html.marked_markdown(body, F.lit("https://s.example.com/"))
     rows = table(spark, sf_dir, "pages").select("page_id", marked.alias("m"))
     return rows.select("page_id", "m.text", F.col("m.links")[0]["href"].alias("first"), F.size("m.links").alias("n"))
+
+
+@query(f"SELECT doc_id, sha256({_sql_norm('text')}) AS norm_sha256 FROM documents WHERE text IS NOT NULL")
+def wide_titles(spark, sf_dir):
+    """Texts written in full-width letters and ligatures have the keys of the same texts written plainly."""
+    plain, wide = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ", "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") + "\u3000"
+    dressed = F.translate(F.replace(F.replace("text", F.lit("ffi"), F.lit("ﬃ")), F.lit("fi"), F.lit("ﬁ")), plain, wide)
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2(text.norm_text(dressed), 256).alias("norm_sha256"))

@@ -70,7 +70,9 @@ def test_texts(spark):
     assert one(text.chat_ids, "1, 2,,") == [["1", "2"]]
     assert values(spark, text.distinct_tags(F.col("t")), [(["Remote", "remote ", "A,B", ""],)], "t array<string>") == [["Remote", "A B"]]
     assert values(spark, text.kept_tags(F.col("t"), F.lit("ux  designer, Lead")), [(["UX Designer", "Intern"],)], "t array<string>") == [["UX Designer"]]
-    assert values(spark, text.nfkc("s"), [("ﬁ",), (None,)], "s string") == ["fi", None]
+    assert values(spark, text.nfkc(F.col("s")), [("ﬁ",), ("Ｗide",), ("e\u0301",), ("plain",), ("",), (None,)], "s string") == ["fi", "Wide", "é", "plain", "", None]
+    assert values(spark, text.norm_text(F.col("s")), [("Ｎｉｇｈｔ  oﬃcer №3",)], "s string") == ["night officer no3"]
+    assert values(spark, text.company_name(F.col("s")), [("Ａｃｍｅ，Ｉｎｃ．",)], "s string") == ["acme"]
 
 
 PAY = [
