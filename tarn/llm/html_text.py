@@ -5,9 +5,10 @@ positive and tags negative by nature, how much depends on what they stand in. On
 contiguous region of the greatest total. Inside it, elements that are no content (menus, forms, notices,
 comments) are left out, and the rest is cut into blocks.
 
-Whether an element is content is a sum of log-odds too: of its tag, of the words in its class, id and role, and of
-what it holds (sentences, links, little text). Names decide nothing by themselves: a form around a whole page and a
-paragraph of class "share-price" are content by what they hold.
+An element that its tag or a whole word of its class, id or role calls something else (an aside, an advert, a form) is left out,
+however long it is, unless it is around the page; a header that holds the title is not. Of others a sum of log-odds
+decides: of the tag, of words that are part of a name, and of what is held (sentences, links). Inside of an article,
+which is what is called one or where the title stands together with text, nothing is left out for being short.
 
 All weights are learned when the module is loaded, from labelled pages: layouts put together at random, with names
 from lists in several languages, with names that say nothing, and with none.
@@ -85,11 +86,11 @@ class Piece(NamedTuple):
 class Element:
     """An element with the features of its name, what it holds, and the element around it (-1: the page)."""
 
-    __slots__ = ("above", "named", "words", "linked", "stops", "paragraphs", "label")
+    __slots__ = ("above", "named", "words", "linked", "stops", "paragraphs", "titles", "heading", "inner", "label")
 
     def __init__(self, above: int, named: tuple[str, ...], paragraphs: int, label: str):
         self.above, self.named, self.paragraphs, self.label = above, named, paragraphs, label
-        self.words = self.linked = self.stops = 0
+        self.words = self.linked = self.stops = self.titles = 0  # titles: the h1 that are held, or the element itself
 
 
 @cache
@@ -161,7 +162,7 @@ def parsed(page: str) -> tuple[list[Piece], list[Element]]:
         e = elements[i]
         if e.above >= 0:  # what is held is held by the element around it too
             a = elements[e.above]
-            a.words, a.linked, a.stops, a.paragraphs = a.words + e.words, a.linked + e.linked, a.stops + e.stops, a.paragraphs + e.paragraphs
+            a.words, a.linked, a.stops, a.paragraphs, a.titles = a.words + e.words, a.linked + e.linked, a.stops + e.stops, a.paragraphs + e.paragraphs, a.titles + e.titles
         return name
 
     for m in _TOKEN.finditer(page):
@@ -188,6 +189,8 @@ def parsed(page: str) -> tuple[list[Piece], list[Element]]:
                     pass
             label = m["rest"][-1:] if m["rest"][-2:] in ("\x01+", "\x01-") else ""
             elements.append(Element(stack[-1][1] if stack else -1, _named(name, m["rest"].rstrip("\x01+-") if label else m["rest"]), int(name in _PARAGRAPHS), label))
+            elements[-1].titles = int(name == "h1")
+            elements[-1].heading, elements[-1].inner = name == "h1", name not in ("body", "html")
             stack.append((name, len(elements) - 1))
             open_[name] += 1
     text(at, len(page))
@@ -201,20 +204,54 @@ def parsed(page: str) -> tuple[list[Piece], list[Element]]:
 OWN, ARTICLE, WITHIN, AROUND = range(4)
 
 
+def homes(elements: list[Element]) -> set[int]:
+    """The elements in which a title stands together with text: of each h1 the innermost one around it that holds
+    paragraphs besides titles, unless that is the body."""
+    near: list[int] = []  # of each element, itself or the innermost one around it that holds such paragraphs
+    for i, e in enumerate(elements):
+        near.append(i if e.paragraphs > e.titles else near[e.above] if e.above >= 0 else -1)
+    found = {near[e.above] for e in elements if e.heading and e.above >= 0}
+    return {i for i in found if i >= 0 and elements[i].inner}
+
+
+def told(e: Element, place: int, most: int, titles: int) -> bool | None:
+    """Whether an element is left out by what it is called; None if that says nothing. most: see _features; titles: of the page."""
+    if "hidden" in e.named:
+        return True
+    parts = {f[4:] for f in e.named if f.startswith("out ")}
+    tags = {f[4:] for f in e.named if f.startswith("tag ")} & OUT_TAGS
+    if not (parts or tags) or "in" in e.named:
+        return None
+    linked = 2 * e.linked > e.words
+    if e.words >= most and (e.titles or (parts <= {"form", "head"} and e.paragraphs > 1)):
+        return False
+    if parts <= {"head"} and tags <= {"header"}:
+        if place == ARTICLE and (e.titles or not parts) and not linked:
+            return False
+        if e.titles and e.titles == titles and not linked:  # the page has no title but in it
+            return False
+    return True
+
+
 def places(elements: list[Element], weights: dict[str, float]) -> list[int]:
-    """Each element's place. An element is left out with all that it holds if its log-odds are negative; one without
-    features stands where the one around it does. What is kept and called or marked as an article is one."""
+    """Each element's place. An element is left out with all that it holds if it is told to be, or else if its log-odds are
+    negative; one without features stands where the one around it does. What is kept and called or marked as an
+    article is one, and so is where the title stands together with text."""
     out: list[int] = []
-    most = _most(elements)
-    for e in elements:  # an element comes after the one around it
+    most, home = _most(elements), homes(elements)
+    titles = sum(e.titles for e in elements if e.above < 0)
+    for i, e in enumerate(elements):  # an element comes after the one around it
         place = out[e.above] if e.above >= 0 else OWN
-        found = _features(e, most) if place in (OWN, ARTICLE) else ()
-        if found:
-            # A header inside of an article is its title.
-            value = weights["prior"] + sum(weights.get(f, 0.0) for f in found if not (place == ARTICLE and f == "tag header"))
-            if value < 0:
+        if place in (OWN, ARTICLE):
+            left = told(e, place, most, titles)
+            found = _features(e, most) if left is None else ()
+            if found and not e.titles:
+                plain = place == ARTICLE and not any(f.startswith(("out ", "part out")) for f in e.named)
+                # Inside of an article what has no telling name is left out for its links alone.
+                left = weights["prior"] + sum(weights.get(f, 0.0) for f in found) < 0 and not (plain and 2 * e.linked <= e.words)
+            if left:
                 place = WITHIN if place == ARTICLE else AROUND
-            elif "tag article" in e.named or "tag main" in e.named or "in" in e.named:
+            elif i in home or "tag article" in e.named or "tag main" in e.named or "in" in e.named:
                 place = ARTICLE
         out.append(place)
     return out
@@ -327,6 +364,8 @@ def kind(piece: Piece) -> tuple:
 
 
 WEIGHTS, KINDS = learned(labelled_pages())
+#: What an article's title counts more than its words: the tags between it and the text are many.
+TITLE = 5.0
 
 
 def score(piece: Piece, place: int) -> float:
@@ -358,7 +397,8 @@ def main_text(page: str) -> str:
     """The main text: blocks joined by two line ends, white space inside a block as one space."""
     found, elements = parsed(page)
     place = [*places(elements, WEIGHTS), OWN]  # -1: the page
-    low, high = best_region([score(x, place[x.element]) for x in found])
+    title = [e.heading for e in elements] + [False]
+    low, high = best_region([score(x, place[x.element]) + (TITLE if x.words and title[x.element] and place[x.element] == ARTICLE else 0.0) for x in found])
     if low == high:
         return ""
     # Blocks that the region's ends cut are taken whole.
