@@ -106,17 +106,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(0.999999)))
 
 
+def _constants(values: list, kind: str) -> Column:
+    """An array of constants, folded from one string: thousands of literals would be analysed one by one, for every column."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def _cuts(docs: DataFrame, cuts: int) -> list[int]:
     """At most `cuts` ids, ascending, that cut the rows into parts of about equal numbers."""
     shares = [(i + 0.5) / cuts for i in range(cuts)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10 * cuts)).first()[0]
+    found = docs.agg(F.percentile_approx("doc_id", _constants(shares, "double"), F.lit(10 * cuts))).first()[0]
     return sorted(set(found or []))
 
 
 def _place(cuts: list[int]) -> tuple[Column, Column]:
     """(where an id stands among the cuts, how many are not above it: column at_, found by halving). It stands at 0
     if it is null, at 2 * at_ if it is a cut itself, but one less, and behind that otherwise."""
-    x, bounds = F.col("doc_id"), F.array(*map(_long, cuts)).cast("array<bigint>")
+    x, bounds = F.col("doc_id"), _constants(cuts, "bigint")
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(cuts).bit_length())))])
     at = F.aggregate(steps, F.lit(0), lambda acc, k: F.when(F.coalesce(F.get(bounds, acc + k - 1) <= x, F.lit(False)), acc + k).otherwise(acc))
     exact = F.coalesce(F.get(bounds, F.col("at_") - 1) == x, F.lit(False)).cast("int")
@@ -139,10 +144,10 @@ def with_ranges(docs: DataFrame, rows: int = _ROWS, cuts: int = _CUTS) -> DataFr
         slices[r.part] = -(-r.n // rows)
         if r.low is not None:
             low[r.part], width[r.part] = float(r.low), max(1.0, (float(r.high) - float(r.low) + 1) / slices[r.part])
-    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("part"))
-    by_text = F.floor((F.col("th").cast("double") / 2.0**64 + 0.5) * of(slices))
-    number = F.when(F.col("part") % 2 == 0, by_text).otherwise(F.floor((F.col("doc_id").cast("double") - of(low)) / of(width)))
-    return placed(docs).withColumn("slice", F.least(F.greatest(number, F.lit(0)), of(slices) - 1).cast("long"))
+    of = lambda values, kind: F.get(_constants(values, kind), F.col("part"))
+    by_text = F.floor((F.col("th").cast("double") / 2.0**64 + 0.5) * of(slices, "int"))
+    number = F.when(F.col("part") % 2 == 0, by_text).otherwise(F.floor((F.col("doc_id").cast("double") - of(low, "double")) / of(width, "double")))
+    return placed(docs).withColumn("slice", F.least(F.greatest(number, F.lit(0)), of(slices, "int") - 1).cast("long"))
 
 
 def with_next(docs: DataFrame, extra: dict[str, Column], rows: int = _ROWS, cuts: int = _CUTS) -> DataFrame:
