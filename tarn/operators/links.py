@@ -1,17 +1,25 @@
 """Which link belongs to which posting of a crawl.
 
-Titles and anchors of one page are compared through their words, not all with all: a pair is only looked at
-when it shares a word, and words are joined on (page, word).
+Titles and anchors of one page are compared through their words, not all with all. A title's best anchor is looked for among
+those that have most of its words or hold the whole of it: these have one of the title's rarest words, its prefix, and only
+prefixes are joined. Titles for which that settles nothing are compared again with longer prefixes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import let, norm_text, tokens
+from tarn.plans.stored import stored
 
 STRONG, MARGIN = 0.6, 0.15
+#: What a pair that holds the whole title gets besides its share of words.
+WHOLE = 0.15
+#: Pairs are looked for above these scores: what is left out can't come within the margin of a full score, or of a strong one.
+NEAR_FULL, NEAR_STRONG = 1.0 - MARGIN, STRONG - MARGIN
 
 
 def anchor_score(title: Column, anchor: Column) -> Column:
@@ -21,7 +29,7 @@ def anchor_score(title: Column, anchor: Column) -> Column:
         own, other = s["own"], s["other"]
         share = F.size(F.filter(own, lambda t: F.array_contains(other, t))).cast("double") / F.size(own)
         whole = (s["title"] != "") & s["anchor"].contains(s["title"])
-        return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).when(whole, F.least(F.lit(1.0), share + 0.15)).otherwise(share)
+        return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).when(whole, F.least(F.lit(1.0), share + WHOLE)).otherwise(share)
 
     sides = (tokens(title).alias("own"), tokens(anchor).alias("other"), norm_text(title).alias("title"), norm_text(anchor).alias("anchor"))
     return let(F.struct(*sides), score)
@@ -45,9 +53,62 @@ def clear_best(rows: DataFrame) -> DataFrame:
     return ranked.filter((F.col("rn") == 1) & (F.col("score") >= STRONG) & (F.col("score") - F.col("next") >= MARGIN)).drop("rn", "next")
 
 
-def best_anchor(titles: DataFrame, anchors: DataFrame) -> DataFrame:
-    """page_id, pos, link_id, href, score where the best anchor is strong and clear of the next best."""
-    return clear_best(scored(titles, anchors))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(norm_text(text), " "), lambda w: w != "")
+
+
+def _anchor_keys(anchors: DataFrame) -> DataFrame:
+    """page_id, link_id, key: an anchor's words (=), and what its words begin (<) and end with (>)."""
+    ends = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.array(F.concat(F.lit("<"), F.left(w, k)), F.concat(F.lit(">"), F.right(w, k)))))
+    keys = lambda w: F.concat(F.array(F.concat(F.lit("="), w)), ends(w))
+    return anchors.select("page_id", "link_id", F.explode(F.array_distinct(F.flatten(F.transform(_words(F.col("text")), keys)))).alias("key"))
+
+
+def prefixes(titles: DataFrame, keys: DataFrame, score: float) -> DataFrame:
+    """page_id, pos, title, key: what an anchor of the page must have one of, to score more than this with the title.
+
+    Without the whole title, more than this share of the title's words (with repeats) are the anchor's; of the rarest, as many
+    are taken as it needs that one of them must be. With the whole title in its text, all words between the first and the
+    last are its own, the first ends one of its words and the last begins one: the rarest of these is taken.
+    """
+    each = titles.select("page_id", "pos", "title", tokens(F.col("title")).alias("own"), _words(F.col("title")).alias("words")).filter(F.size("own") > 0).withColumn("n", F.size("own"))
+    plain = each.select("page_id", "pos", "title", "n", F.explode("own").alias("word")).groupBy("page_id", "pos", "title", "n", "word").agg(F.count(F.lit(1)).alias("times"))
+    plain = plain.select("page_id", "pos", "title", "n", F.concat(F.lit("="), F.col("word")).alias("key"), "times", F.lit(False).alias("whole"))
+    inner = F.transform(F.slice("words", F.lit(2), F.size("words") - 2), lambda w: F.concat(F.lit("="), w))
+    ends = F.array(F.concat(F.lit(">"), F.get("words", F.lit(0))), F.concat(F.lit("<"), F.element_at("words", -1)))
+    # One of n words may be missing: the bonus is of use if the others are enough.
+    useful = (F.size("words") > 1) & ((F.col("n") - 1) / F.col("n") + WHOLE > score)
+    whole = each.filter(useful).select("page_id", "pos", "title", "n", F.explode(F.array_distinct(F.concat(inner, ends))).alias("key"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("whole"))
+    held = keys.groupBy("page_id", "key").agg(F.count(F.lit(1)).alias("df"))
+    each = plain.unionByName(whole).join(held, ["page_id", "key"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    entry = F.struct("df", "key", "times")
+    ranked = each.groupBy("page_id", "pos", "title", "n").agg(F.array_sort(F.collect_list(F.when(~F.col("whole"), entry))).alias("ranked"), F.min(F.when(F.col("whole"), entry)).alias("rarest"))
+    most = F.col("n") - F.floor(F.col("n") * score + 1e-9)
+    before = lambda i: F.aggregate(F.slice("ranked", F.lit(1), i), F.lit(0).cast("long"), lambda acc, x: acc + x["times"])
+    chosen = F.transform(F.filter("ranked", lambda x, i: (before(i) < most) & (x["df"] > 0)), lambda x: x["key"])
+    bonus = F.when(F.col("rarest.df") > 0, F.array("rarest.key")).otherwise(F.array().cast("array<string>"))
+    return ranked.select("page_id", "pos", "title", F.explode(F.array_distinct(F.concat(chosen, bonus))).alias("key"))
+
+
+def close_pairs(titles: DataFrame, anchors: DataFrame, score: float) -> DataFrame:
+    """page_id, pos, link_id, href, score of the pairs of a page that score more than this; some others may be among them."""
+    keys = _anchor_keys(anchors)
+    met = prefixes(titles, keys, score).join(keys, ["page_id", "key"]).groupBy("page_id", "pos", "link_id").agg(F.first("title").alias("title"))
+    met = met.join(anchors.select("page_id", "link_id", "href", "text"), ["page_id", "link_id"])
+    return met.select("page_id", "pos", "link_id", "href", anchor_score(F.col("title"), F.col("text")).alias("score"))
+
+
+def best_anchor(titles: DataFrame, anchors: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """page_id, pos, link_id, href, score where the best anchor is strong and clear of the next best.
+
+    A title whose best anchor has a full score is settled by the pairs of the shortest prefixes: a page of many titles that differ
+    in one word compares about as many pairs as it has titles. The others are compared again, with all that may matter.
+    """
+    full = cut(close_pairs(titles, anchors, NEAR_FULL), "pairs")
+    settled = full.filter("score >= 1.0").select("page_id", "pos").distinct()
+    rest = titles.join(settled, ["page_id", "pos"], "left_anti")
+    pairs = full.join(settled, ["page_id", "pos"], "left_semi").unionByName(close_pairs(rest, anchors, NEAR_STRONG))
+    return clear_best(pairs)
 
 
 def cited_links(postings: DataFrame, usable: DataFrame) -> DataFrame:
@@ -80,7 +141,7 @@ def branches(postings: DataFrame, usable: DataFrame, cards: DataFrame | None = N
     return out.select("page_id", "pos", F.coalesce(*[F.when(F.col(c).isNotNull(), c) for c in ("card", "cited", "own", "best")], F.lit("none")).alias("branch"))
 
 
-def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = None) -> DataFrame:
+def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = None, cut: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """page_id, pos, url, source, score, note of every posting of a crawl.
 
     postings: page_id, pos, title, link_id, url (canonical, or null); anchors: page_id, link_id, href
@@ -90,8 +151,7 @@ def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = N
     """
     usable = anchors.filter("usable").drop("usable")
     cited, own = cited_links(postings, usable), own_links(postings, usable)
-    all_scored = scored(postings.select("page_id", "pos", "title"), usable)
-    best = clear_best(all_scored).select("page_id", "pos", F.col("href").alias("best"), F.col("score").alias("best_score"))
+    best = best_anchor(postings.select("page_id", "pos", "title"), usable, cut).select("page_id", "pos", F.col("href").alias("best"), F.col("score").alias("best_score"))
     out = _joined(postings, cited, own, best, cards)
 
     def choice(url: str, source: str, note: str | None) -> Column:
@@ -104,9 +164,10 @@ def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = N
     picked = picked.select("page_id", "pos", "r.*")
     claimed = picked.source.isin("cited", "matched")
     claim = Window.partitionBy("page_id", F.when(claimed, F.lower("url")).otherwise(F.concat(F.lit("\0"), F.col("pos").cast("string")))).orderBy(F.desc("score"), "pos")
-    picked = picked.withColumn("rn", F.row_number().over(claim))
+    picked = cut(picked.withColumn("rn", F.row_number().over(claim)), "picked")
     lost = picked.filter(F.col("source").isin("cited", "matched") & (F.col("rn") > 1)).select("page_id", "pos", F.col("url").alias("lost"), F.col("score").alias("old"))
-    again = clear_best(lost.join(all_scored, ["page_id", "pos"]).filter(F.lower("href") != F.lower("lost")))
+    tried = close_pairs(postings.select("page_id", "pos", "title").join(lost, ["page_id", "pos"], "left_semi"), usable, NEAR_STRONG)
+    again = clear_best(lost.join(tried, ["page_id", "pos"]).filter(F.lower("href") != F.lower("lost")))
     again = again.select("page_id", "pos", F.col("href").alias("alt"), F.col("score").alias("alt_score"))
     out = picked.join(lost, ["page_id", "pos"], "left").join(again, ["page_id", "pos"], "left")
     beaten, found = F.col("lost").isNotNull(), F.col("alt").isNotNull()
