@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarn.functions import dates, display, html, money, place, text
 from tarn.operators import cards, companies, lifecycle, links, registry
 from tarn.plans import listing
-from tarn.plans.queries import _CRAWLS, _MATCHING, _crawl, _page_anchors, _sql_norm, _titles, query
+from tarn.plans.queries import _ANCHORS_SQL, _CRAWLS, _MATCHING, _crawl, _page_anchors, _sql_norm, _titles, query
 from tarn.plans.tables import postings, sources, table
 from tarn.sources import boards
 
@@ -116,17 +116,21 @@ def company_fallback(spark, sf_dir):
     return companies.page_fallback(postings(spark, sf_dir).withColumn("company", named), sources(spark, sf_dir))
 
 
-@query("SELECT s_suppkey AS page_id, s_name FROM supplier ORDER BY s_suppkey LIMIT 1000")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1000 OFFSET 50")
 def ceiling_read(spark, sf_dir):
-    return listing.capped_read(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), "s_name"), "page_id", limit=5000)
+    rows = listing.capped_read(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", limit=5000, offset=50)
+    return rows.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT count(*) AS pages, CAST(0 AS BIGINT) AS hashes, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS postings FROM sources_v", "s")
+@query("SELECT s.page_id, label, s.url, active, first_crawl_done, CAST(NULL AS VARCHAR) AS last_content_hash, CAST(NULL AS VARCHAR) AS last_error, CAST(0 AS INTEGER) AS failure_count, count(p.id) AS had, CAST(0 AS BIGINT) AS has FROM sources_v s LEFT JOIN postings_v p USING (page_id) GROUP BY ALL", "ps")
 def crawl_reset(spark, sf_dir):
-    pages = sources(spark, sf_dir).withColumn("last_content_hash", F.lit("h"))
-    again, none = registry.reset_crawls(pages, postings(spark, sf_dir))
-    counts = again.agg(F.count(F.lit(1)).alias("pages"), F.count("last_content_hash").alias("hashes"), F.count("last_error").alias("errors"), F.sum(F.col("failure_count").cast("long")).alias("failures"))
-    return counts.join(none.agg(F.count(F.lit(1)).alias("postings")), F.lit(True))
+    """Every page after a reset, with how many postings it had and has."""
+    before = postings(spark, sf_dir)
+    pages = sources(spark, sf_dir).withColumn("last_content_hash", F.sha2("url", 256))
+    again, after = registry.reset_crawls(pages, before)
+    counts = lambda rows, name: rows.groupBy("page_id").agg(F.count("id").alias(name))
+    rows = again.join(counts(before, "had"), "page_id", "left").join(counts(after, "has"), "page_id", "left").fillna(0, ["had", "has"])
+    return rows.select("page_id", "label", "url", "active", "first_crawl_done", "last_content_hash", "last_error", F.col("failure_count").cast("int").alias("failure_count"), "had", "has")
 
 
 # --- boards ----------------------------------------------------------------------------------------
@@ -248,21 +252,37 @@ def text_display(spark, sf_dir):
     return rows.select("doc_id", text.truncate(F.col("t"), 40).alias("short"), text.escape_html(F.col("t")).alias("escaped"), F.regexp_extract("t", "^[^ ]*", 0).alias("first"))
 
 
-@query("SELECT page_id, '[' || page_id || '](https://s.example.com/' || page_id || ')' || chr(10) || 'Body' AS body, '<a href=\"https://s.example.com/' || page_id || '\">' AS back FROM pages")
-def reader_bodies(spark, sf_dir):
-    s = F.col("page_id").cast("string")
-    link = F.concat(F.lit("["), s, F.lit("](https://s.example.com/"), s, F.lit(")\nBody"))
-    old = F.concat(F.lit('<a href="/web/20200101000000/https://s.example.com/'), s, F.lit('">'))
-    return table(spark, sf_dir, "pages").select("page_id", html.without_frontmatter(F.concat(F.lit("---\ntitle: x\n---\n\n"), link)).alias("body"), html.snapshot_links(old).alias("back"))
+_MARKDOWN_SQL = rf"""
+WITH {_ANCHORS_SQL},
+kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY link_id) AS k FROM anchors WHERE NOT regexp_matches(text, '[\[\]<>&]') AND href LIKE '/%')
+SELECT page_id, string_agg('* [[' || k || ']]' || text || '[[/' || k || ']] of ' || link_id, chr(10) ORDER BY link_id) AS text, count(*) AS n,
+       string_agg(regexp_extract(url, '(?i)^(https?://[^/?#]*)', 1) || href, ' ' ORDER BY link_id) AS hrefs FROM kept GROUP BY page_id"""
 
 
-@query("SELECT page_id, '[[1]]One[[/1]] and [[2]]Two[[/2]] of ' || page_id AS text, 'https://s.example.com/' || page_id AS first, CAST(2 AS INTEGER) AS n FROM pages")
+@query(_MARKDOWN_SQL)
 def markdown_links(spark, sf_dir):
-    s = F.col("page_id").cast("string")
-    body = F.concat(F.lit("[One](https://s.example.com/"), s, F.lit(") and [Two](/two) of "), s)
-    marked = html.marked_markdown(body, F.lit("https://s.example.com/"))
-    rows = table(spark, sf_dir, "pages").select("page_id", marked.alias("m"))
-    return rows.select("page_id", "m.text", F.col("m.links")[0]["href"].alias("first"), F.size("m.links").alias("n"))
+    """Pages' own links as a reader service would write them."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(html.anchors(F.col("html"))).alias("i", "a")).filter(~F.col("a.text").rlike(r"[\[\]<>&]") & F.col("a.href").startswith("/"))
+    line = F.concat(F.lit("* ["), F.col("a.text"), F.lit("]("), F.col("a.href"), F.lit(") of "), (F.col("i") + 1).cast("string"))
+    bodies = rows.groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("lines"))
+    bodies = bodies.select("page_id", html.marked_markdown(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.col("url")).alias("m"))
+    return bodies.select("page_id", "m.text", F.size("m.links").cast("long").alias("n"), F.array_join(F.transform("m.links", lambda x: x["href"]), " ").alias("hrefs"))
+
+
+@query(rf"""
+WITH {_ANCHORS_SQL}
+SELECT p.page_id, sha256(html) AS body_sha256, coalesce(a.back, '') AS back FROM pages p
+LEFT JOIN (SELECT page_id, string_agg('<a href="' || regexp_extract(url, '(?i)^(https?://[^/?#]*)', 1) || href || '">', ' ' ORDER BY link_id) AS back FROM anchors WHERE href LIKE '/%' AND NOT regexp_matches(href, '[&"<>'']') GROUP BY page_id) a USING (page_id)""")
+def reader_bodies(spark, sf_dir):
+    """Whole pages behind the head that a reader service puts before them, and their links out of an archive."""
+    pages = table(spark, sf_dir, "pages")
+    head = F.concat(F.lit("---\ntitle: page "), F.col("page_id").cast("string"), F.lit("\nurl: "), F.col("url"), F.lit("\n---\n\n"))
+    bodies = pages.select("page_id", F.sha2(html.without_frontmatter(F.concat(head, "html")), 256).alias("body_sha256"))
+    links = pages.select("page_id", "url", F.posexplode(html.anchors(F.col("html"))).alias("i", "a")).filter(F.col("a.href").startswith("/") & ~F.col("a.href").rlike("[&\"<>']"))
+    old = F.concat(F.lit('<a href="/web/20200101000000/'), F.regexp_extract("url", "(?i)^(https?://[^/?#]*)", 1), F.col("a.href"), F.lit('">'))
+    old = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", old.alias("a")))).alias("links"))
+    old = old.select("page_id", html.snapshot_links(F.array_join(F.transform("links", lambda x: x["a"]), " ")).alias("back"))
+    return bodies.join(old, "page_id", "left").fillna("", ["back"])
 
 
 @query(f"SELECT doc_id, sha256({_sql_norm('text')}) AS norm_sha256 FROM documents WHERE text IS NOT NULL")
