@@ -1,8 +1,8 @@
 """Which link belongs to which posting of a crawl.
 
-Titles and anchors of one page are compared through their words, not all with all. A title's best anchor is looked for among
-those that have most of its words or hold the whole of it: these have one of the title's rarest words, its prefix, and only
-prefixes are joined. Titles for which that settles nothing are compared again with longer prefixes.
+Titles and anchors of one page are compared through their words, not all with all: a pair is only looked at when it shares a
+word. For pages of thousands of like titles there is a way by prefixes: a title's best anchor has most of its words or holds the
+whole of it, so it has one of the title's rarest words, and only these are joined.
 """
 
 from __future__ import annotations
@@ -98,17 +98,23 @@ def close_pairs(titles: DataFrame, anchors: DataFrame, score: float) -> DataFram
     return met.select("page_id", "pos", "link_id", "href", anchor_score(F.col("title"), F.col("text")).alias("score"))
 
 
-def best_anchor(titles: DataFrame, anchors: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+def pairs_by_prefix(titles: DataFrame, anchors: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """Scored pairs with each title's best and whatever comes near it. A title whose best anchor has a full score is settled by
+    the pairs of the shortest prefixes: a page of many titles that differ in one word compares about as many pairs as it has
+    titles. The rest are compared again, with all that may matter."""
+    titles, anchors = cut(titles, "titles"), cut(anchors, "anchors")
+    full = cut(close_pairs(titles, anchors, NEAR_FULL), "pairs")
+    settled = full.filter("score >= 1.0").select("page_id", "pos").distinct()
+    rest = close_pairs(titles.join(settled, ["page_id", "pos"], "left_anti"), anchors, NEAR_STRONG)
+    return full.join(settled, ["page_id", "pos"], "left_semi").unionByName(rest)
+
+
+def best_anchor(titles: DataFrame, anchors: DataFrame, by_prefix: bool = False) -> DataFrame:
     """page_id, pos, link_id, href, score where the best anchor is strong and clear of the next best.
 
-    A title whose best anchor has a full score is settled by the pairs of the shortest prefixes: a page of many titles that differ
-    in one word compares about as many pairs as it has titles. The others are compared again, with all that may matter.
+    by_prefix: the same rows from fewer pairs, in more steps; for pages of thousands of like titles.
     """
-    full = cut(close_pairs(titles, anchors, NEAR_FULL), "pairs")
-    settled = full.filter("score >= 1.0").select("page_id", "pos").distinct()
-    rest = titles.join(settled, ["page_id", "pos"], "left_anti")
-    pairs = full.join(settled, ["page_id", "pos"], "left_semi").unionByName(close_pairs(rest, anchors, NEAR_STRONG))
-    return clear_best(pairs)
+    return clear_best(pairs_by_prefix(titles, anchors) if by_prefix else scored(titles, anchors))
 
 
 def cited_links(postings: DataFrame, usable: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def branches(postings: DataFrame, usable: DataFrame, cards: DataFrame | None = N
     return out.select("page_id", "pos", F.coalesce(*[F.when(F.col(c).isNotNull(), c) for c in ("card", "cited", "own", "best")], F.lit("none")).alias("branch"))
 
 
-def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = None, cut: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = None, by_prefix: bool = False) -> DataFrame:
     """page_id, pos, url, source, score, note of every posting of a crawl.
 
     postings: page_id, pos, title, link_id, url (canonical, or null); anchors: page_id, link_id, href
@@ -151,7 +157,9 @@ def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = N
     """
     usable = anchors.filter("usable").drop("usable")
     cited, own = cited_links(postings, usable), own_links(postings, usable)
-    best = best_anchor(postings.select("page_id", "pos", "title"), usable, cut).select("page_id", "pos", F.col("href").alias("best"), F.col("score").alias("best_score"))
+    titles = postings.select("page_id", "pos", "title")
+    pairs = pairs_by_prefix(titles, usable) if by_prefix else scored(titles, usable)
+    best = clear_best(pairs).select("page_id", "pos", F.col("href").alias("best"), F.col("score").alias("best_score"))
     out = _joined(postings, cited, own, best, cards)
 
     def choice(url: str, source: str, note: str | None) -> Column:
@@ -164,9 +172,9 @@ def resolve(postings: DataFrame, anchors: DataFrame, cards: DataFrame | None = N
     picked = picked.select("page_id", "pos", "r.*")
     claimed = picked.source.isin("cited", "matched")
     claim = Window.partitionBy("page_id", F.when(claimed, F.lower("url")).otherwise(F.concat(F.lit("\0"), F.col("pos").cast("string")))).orderBy(F.desc("score"), "pos")
-    picked = cut(picked.withColumn("rn", F.row_number().over(claim)), "picked")
+    picked = picked.withColumn("rn", F.row_number().over(claim))
     lost = picked.filter(F.col("source").isin("cited", "matched") & (F.col("rn") > 1)).select("page_id", "pos", F.col("url").alias("lost"), F.col("score").alias("old"))
-    tried = close_pairs(postings.select("page_id", "pos", "title").join(lost, ["page_id", "pos"], "left_semi"), usable, NEAR_STRONG)
+    tried = close_pairs(titles.join(lost, ["page_id", "pos"], "left_semi"), usable, NEAR_STRONG) if by_prefix else pairs
     again = clear_best(lost.join(tried, ["page_id", "pos"]).filter(F.lower("href") != F.lower("lost")))
     again = again.select("page_id", "pos", F.col("href").alias("alt"), F.col("score").alias("alt_score"))
     out = picked.join(lost, ["page_id", "pos"], "left").join(again, ["page_id", "pos"], "left")
