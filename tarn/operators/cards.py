@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,17 +159,31 @@ def cards(body: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([card_links(b or "", u or "") for b, u in zip(body, base)])
 
 
+def _stretches(text: Column, size: Column, space: Column) -> Column:
+    """The distinct stretches of a text that have this many characters and their first space at this place (0: none)."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: F.substr(text, at, size))
+    return F.array_distinct(F.filter(every, lambda x: F.instr(x, " ") == space))
+
+
 def match_cards(postings: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, pos, href, score of the postings that one card of their page is for.
 
     postings: page_id, pos, title, company; found: page_id, href, title, text. Titles are compared normalised;
     several cards of one title are told apart by the company in their text, and if that fails none is taken.
+
+    Cards of one title are counted, not paired with its postings: a lone one is joined to them by title, and of
+    several each is cut into the stretches that could be a company's name, which are counted and joined by name.
     """
-    a = postings.select("page_id", "pos", "title", F.coalesce(norm_text(F.col("company")), F.lit("")).alias("company"), norm_text(F.col("title")).alias("key"))
+    of, by_name = ["page_id", "key"], ["page_id", "key", "company"]
+    a = postings.select("page_id", "pos", "title", F.coalesce(norm_text(F.col("company")), F.lit("")).alias("company"), norm_text(F.col("title")).alias("key")).filter("key != ''")
     b = found.select("page_id", "href", F.col("title").alias("card_title"), norm_text(F.col("text")).alias("card_text"), norm_text(F.col("title")).alias("key"))
-    each = Window.partitionBy("page_id", "pos")
-    met = a.filter("key != ''").join(b, ["page_id", "key"])
-    named = (F.col("company") != "") & F.col("card_text").contains(F.col("company"))
-    met = met.select("*", F.count(F.lit(1)).over(each).alias("n"), F.count_if(named).over(each).alias("k"), named.alias("named"))
-    taken = met.filter((F.col("n") == 1) | ((F.col("k") == 1) & F.col("named")))
-    return taken.select("page_id", "pos", "href", anchor_score(F.col("title"), F.col("card_title")).alias("score"))
+    card = F.min(F.struct("href", "card_title")).alias("card")
+    met = b.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), card)
+    alone, several = met.filter("n = 1").select(*of, "card"), met.filter("n > 1").select(*of)
+    names = a.filter("company != ''").select(*by_name).distinct().join(several, of, "left_semi")
+    shapes = names.select(*of, F.length("company").alias("size"), F.instr("company", " ").alias("space")).distinct()
+    cut = b.join(shapes, of).filter(F.length("card_text") >= F.col("size"))
+    cut = cut.select(*of, "href", "card_title", F.explode(_stretches(F.col("card_text"), F.col("size"), F.col("space"))).alias("company"))
+    named = cut.groupBy(*by_name).agg(F.count(F.lit(1)).alias("k"), card).filter("k = 1").select(*by_name, "card")
+    taken = a.join(alone, of).select("page_id", "pos", "title", "card").unionByName(a.join(named, by_name).select("page_id", "pos", "title", "card"))
+    return taken.select("page_id", "pos", "card.href", anchor_score(F.col("title"), F.col("card.card_title")).alias("score"))
