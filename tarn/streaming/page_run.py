@@ -135,7 +135,7 @@ def resolved_links(postings: DataFrame, chosen: DataFrame, pages: DataFrame, cut
     anchors = anchors.select("page_id", "link_id", F.col("canonical").alias("href"), "text", url.usable(F.col("link"), F.col("page_url")).alias("usable"))
     rows = _with_address(postings.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id"))
     rows = cut(rows.select("page_id", "pos", "title", "company", "link_id", F.col("canonical").alias("url")), "cited")
-    return links.resolve(rows, cut(anchors, "anchors"), cut(match_cards(rows, cards), "cards")), failures
+    return links.resolve(rows, cut(anchors, "anchors"), cut(match_cards(rows, cards), "cards"), by_prefix=False), failures
 
 
 def _first_failures(*tables: DataFrame) -> DataFrame:
