@@ -13,12 +13,13 @@ Counts are made over the whole training texts.
 * Short contexts and bytes make a tree of bounded size that every task holds: a context, or a context with its
   next token, is a candidate when its probability is at least a fixed one (LEAST, PAIRS), so there are at most
   1 / LEAST or 1 / PAIRS of them at each length.
-* Tokens and long contexts are tables that grow with the corpus, and meet the texts in joins. Of the long
-  contexts one in THIN, chosen by its hash, is a candidate, wherever it is met twice or more in the whole corpus.
+* Tokens and long contexts are tables that grow with the corpus, and meet the texts in joins. Every long
+  context is a candidate that is met twice or more in the whole corpus.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ DEPTH, LEAST, GAIN = 6, 5e-5, 12.0
 #: A token in at least this share of the training tokens is looked up beside the text; there are at most
 #: 1 / COMMON of them. The others meet their counts in a join. The same for short contexts with a next token.
 COMMON, PAIRS = 2e-7, 2e-6
-#: Tokens of a long context, and that one in so many is a candidate.
-LONG, THIN = 4, 5
+#: Tokens of a long context, and that one in so many is a candidate: all are.
+LONG, THIN = 4, 1
 #: Bits of the map of those met twice or more. It only keeps others from being joined; where it is full, all are.
 MAP_BITS = 26
 #: Counts that a task holds before it hands them on.
@@ -320,6 +321,12 @@ class Tokens:
         keep = kept2[context]
         self.pairs, self.triples, self.share2 = pairs, triples[keep], share2[keep]
 
+    def nameless(self) -> Tokens:
+        """What probabilities needs: tasks that have numbers already hold neither the tokens nor their counts."""
+        out = copy.copy(self)
+        out.ids, out.n = _Ids(), np.empty(0)
+        return out
+
     def probabilities(self, every: np.ndarray) -> np.ndarray:
         """The probability of each id from the third on, after the two before; for -1, that of any such
         token, without its own part at the root."""
@@ -395,7 +402,7 @@ def long_contexts(every: np.ndarray, long: int = LONG) -> np.ndarray:
 def _candidates(every: np.ndarray, place: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions whose long context may be kept, the context's hash)."""
     h = long_contexts(every, long)
-    at = np.flatnonzero((h % np.uint64(THIN) == 0) & (place[long:] >= long))
+    at = np.flatnonzero(place[long:] >= long)
     return at + long, h[at]
 
 
@@ -456,7 +463,7 @@ def _recurring(every: np.ndarray, place: np.ndarray, bits: np.ndarray, long: int
 def _long_counts(tree: Tokens, bits: np.ndarray, long: int):
     """c, g, n, p: counts of long contexts with each next token (of those that are not common together, g null),
     and the parent's probability of it."""
-    end = tree.ids[b""]
+    end, tree = tree.ids[b""], tree.nameless()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,10 +486,12 @@ def long_values(counts: DataFrame, gain: float = GAIN) -> DataFrame:
     grams = counts.repartition("c").groupBy("c", "g").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
     own = Window.partitionBy("c")
     seen = F.coalesce(F.sum(F.when(F.col("g").isNotNull(), F.col("n"))).over(own), F.lit(0))
-    grams = grams.select("*", (F.sum("n").over(own) + F.count("g").over(own) + 1).cast("double").alias("whole"), seen.alias("seen"))
+    grams = grams.select("*", (F.sum("n").over(own) + F.count("g").over(own) + 1).cast("double").alias("whole"), seen.alias("seen"), F.sum("n").over(own).alias("met"))
     grams = grams.withColumn("left", (F.col("whole") - F.col("seen")) / F.col("whole"))
     times = F.when(F.col("g").isNull(), F.col("left")).otherwise((F.col("n") / F.col("whole") + F.col("left") * F.col("p")) / F.col("p"))
-    grams = grams.withColumn("times", times).withColumn("better", F.sum(F.col("n") * F.log("times")).over(own)).filter(F.col("better") >= gain)
+    grams = grams.withColumn("times", times).withColumn("better", F.sum(F.col("n") * F.log("times")).over(own))
+    # A context met once may share a bit of the map with another: it is none, whatever it would gain.
+    grams = grams.filter((F.col("met") > 1) & (F.col("better") >= gain))
     least = F.row_number().over(own.orderBy(F.asc_nulls_first("g"))) == 1
     by_token = F.array(
         F.struct(F.col("g").alias("key"), F.log10("times").alias("value")),
@@ -504,7 +513,7 @@ _NAMES = [x.split()[0] for x in _PARTS.split(", ")]
 def _scored(tree: Tokens, bits: np.ndarray, long: int):
     base = np.r_[np.log10((tree.n + 0.5) / (tree.all_tokens + 0.5 * (tree.kinds + 1))), 0.0]
     met = np.r_[tree.n > 0, False]
-    end = tree.ids[b""]
+    end, tree = tree.ids[b""], tree.nameless()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with a null key for each document, with what its common tokens and short contexts give; and one
