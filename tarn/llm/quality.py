@@ -127,14 +127,22 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400) -> np
 def fit(good: np.ndarray, unlabelled: np.ndarray) -> Model:
     """The model from feature rows of texts labelled good and of unlabelled ones. Without either it
     finds every text good."""
-    if not len(good) or not len(unlabelled):
+    return _fitted([np.concatenate([good, unlabelled])], len(good))
+
+
+def _fitted(held: list[np.ndarray], n_good: int) -> Model:
+    """The model from one array of feature rows, the good ones first. It is taken out of the list, so that it goes when
+    the designs are made: the driver holds the sample once."""
+    both = held.pop()
+    if not 0 < n_good < len(both):
         return Model(np.zeros((len(FEATURES), 1)), np.zeros(2 * BUCKETS), np.ones(2 * BUCKETS), np.r_[5.0, np.zeros(len(FEATURES) + 2 * BUCKETS)], 1.0)
-    both = np.concatenate([good, unlabelled])
     tail = np.array([0.005, 0.02, 0.05, 0.12, 0.88, 0.95, 0.98, 0.995])[:_BINS]
     # Shares below LEAST are not told from none: one odd word must not mark a long text.
     form, buckets = both[:, : len(FEATURES)], both[:, len(FEATURES) :]
-    model = Model(np.maximum(np.quantile(form, tail, axis=0).T, LEAST), buckets.mean(axis=0), buckets.std(axis=0) + 1.0, np.zeros(1), 0.5)
-    p, u = model.design(good), model.design(unlabelled)
+    spread = np.concatenate([buckets[:, k : k + 32].std(axis=0) for k in range(0, 2 * BUCKETS, 32)])
+    model = Model(np.maximum(np.quantile(form, tail, axis=0).T, LEAST), buckets.mean(axis=0), spread + 1.0, np.zeros(1), 0.5)
+    p, u = model.design(both[:n_good]), model.design(both[n_good:])
+    del both, form, buckets
     # The first classifier only tells the samples apart, by form; its order of texts is that of their quality.
     n = 1 + model.cuts.size
     first = _descend(p[:, :n], u[:, :n], 0.5)
@@ -153,8 +161,11 @@ def packed(x: np.ndarray) -> bytes:
 
 
 def unpacked(rows: list[bytes]) -> np.ndarray:
-    raw, n = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), 4 * len(FEATURES) + 2 * BUCKETS), 4 * len(FEATURES)
-    return np.concatenate([np.ascontiguousarray(raw[:, :n]).view("<f4"), raw[:, n:].astype("<f4")], axis=1)
+    n, form = len(rows), 4 * len(FEATURES)
+    raw, out = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(n, form + 2 * BUCKETS), np.empty((n, len(FEATURES) + 2 * BUCKETS), dtype="<f4")
+    out[:, : len(FEATURES)] = np.ascontiguousarray(raw[:, :form]).view("<f4")
+    out[:, len(FEATURES) :] = raw[:, form:]
+    return out
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +198,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r["good"]: r["n"] for r in made.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("good"), min(1.0, sample / counts.get(True, 1))).otherwise(min(1.0, sample / counts.get(False, 1)))
     some = made.filter(F.shiftrightunsigned(F.xxhash64(F.lit("row"), "doc_id", "x"), 34) < share * (1 << 30))
-    got = some.toPandas().sort_values(["doc_id", "good", "x"])  # sums must not depend on the order of arrival
-    x = unpacked(got["x"].tolist())
-    mark = got["good"].to_numpy(dtype=bool)
-    return fit(x[mark], x[~mark])
+    # Sums must not depend on the order of arrival.
+    got = some.toPandas().sort_values(["good", "doc_id", "x"], ascending=[False, True, True])
+    held, n_good = [unpacked(got["x"].tolist())], int(got["good"].sum())
+    del got
+    return _fitted(held, n_good)
 
 
 def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
