@@ -433,6 +433,11 @@ def _context_marks(end: int, long: int):
 def recurring_map(ids: DataFrame, end: int, long: int = LONG) -> np.ndarray:
     """The bits of the candidates that are met twice or more: a fixed number of bytes."""
     marks = ids.mapInArrow(_context_marks(end, long), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).filter("n > 1")
+    return bit_map(marks)
+
+
+def bit_map(marks: DataFrame) -> np.ndarray:
+    """The bits of the values of column c: a fixed number of bytes."""
     place = F.shiftrightunsigned("c", 64 - MAP_BITS)
     words = marks.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(c, {64 - MAP_BITS}) & 63 as int)))").alias("bits"))
     size = 2048  # words of 64 bits in a part
@@ -510,14 +515,14 @@ _TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()
 _NAMES = [x.split()[0] for x in _PARTS.split(", ")]
 
 
-def _scored(tree: Tokens, bits: np.ndarray, long: int):
+def _scored(tree: Tokens, bits: np.ndarray, long: int, keys: np.ndarray):
     base = np.r_[np.log10((tree.n + 0.5) / (tree.all_tokens + 0.5 * (tree.kinds + 1))), 0.0]
     met = np.r_[tree.n > 0, False]
     end, tree = tree.ids[b""], tree.nameless()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with a null key for each document, with what its common tokens and short contexts give; and one
-        for each key of a long context of it."""
+        for each key of a long context of it that has a bit in keys, the map of those with a value."""
         for batch in batches:
             n = batch.num_rows
             row, held = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
@@ -533,6 +538,9 @@ def _scored(tree: Tokens, bits: np.ndarray, long: int):
             h = held[of].astype(bool)
             key = np.r_[np.where(h, g ^ np.uint64(_HELD), g)[common], (c ^ np.uint64(_LEFT))[h | ~common]]
             of = np.r_[of[common], of[h | ~common]]
+            bit = key >> np.uint64(64 - MAP_BITS)
+            some = (keys[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            key, of = key[some], of[some]
             # Each key of a text once.
             order = np.lexsort((key, of))
             key, of = key[order], of[order]
@@ -603,8 +611,8 @@ def language_scores(docs: DataFrame, common: float = COMMON, pairs: float = PAIR
     training = texts.filter("not held_out").select("ids")
     grow(tree, training, pairs, gain)
     bits = recurring_map(training, tree.ids[b""], long)
-    values = long_values(training.mapInArrow(_long_counts(tree, bits, long), "c long, g long, n long, p double"), gain)
-    parts = materialise(texts.mapInArrow(_scored(tree, bits, long), _PARTS), "parts")
+    values = materialise(long_values(training.mapInArrow(_long_counts(tree, bits, long), "c long, g long, n long, p double"), gain), "values")
+    parts = materialise(texts.mapInArrow(_scored(tree, bits, long, bit_map(values.select(F.col("key").alias("c")))), _PARTS), "parts")
     rare = numbered.filter("token is not null").select("row", "token", "m").join(vocabulary.hint("shuffle_merge"), "token", "left")
     rare = rare.select("row", "token", "m", F.coalesce("n", F.lit(0)).alias("c")).mapInArrow(
         _rare(spelling, tree.all_tokens, tree.kinds), "row long, n_known long, base double, score double"
