@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import materialise, small_batches, text_or_empty
+from tarn.llm.common import brief_shuffles, capped_batches, materialise, text_or_empty
 
 DEPTH, LEAST, GAIN = 6, 5e-5, 12.0
 #: A token in at least this share of the training tokens is looked up beside the text; there are at most
@@ -282,8 +282,9 @@ class Tokens:
         self.n, self.all_tokens, self.kinds = n.astype(np.float64), all_tokens, kinds
         self.root = self.root_probability(self.n, spelled)
         self.pairs = self.triples = np.empty(0, dtype=np.int64)
-        self.left1, self.share1 = np.ones(len(tokens) + 1), np.empty(0)
-        self.left2, self.share2 = np.empty(0), np.empty(0)
+        # The last place of each is what -1, not found, gives.
+        self.left1, self.share1 = np.ones(len(tokens) + 1), np.zeros(1)
+        self.left2, self.share2 = np.ones(1), np.zeros(1)
 
     def root_probability(self, n: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """n of the tokens seen, smoothed towards the spelling in the proportion of kinds to tokens."""
@@ -316,10 +317,10 @@ class Tokens:
         kept2, left2, share2 = self._kept(context, triple_n, pair_n.astype(np.float64), above, gain)
         kept[pairs[kept2] & mask] = True  # what is kept keeps its suffixes
         self.left1 = np.r_[np.where(kept, left, 1.0), 1.0]
-        self.share1 = np.where(kept[follows], share, 0.0)
-        self.left2 = np.where(kept2, left2, 1.0)
+        self.share1 = np.r_[np.where(kept[follows], share, 0.0), 0.0]
+        self.left2 = np.r_[np.where(kept2, left2, 1.0), 1.0]
         keep = kept2[context]
-        self.pairs, self.triples, self.share2 = pairs, triples[keep], share2[keep]
+        self.pairs, self.triples, self.share2 = pairs, triples[keep], np.r_[share2[keep], 0.0]
 
     def nameless(self) -> Tokens:
         """What probabilities needs: tasks that have numbers already hold neither the tokens nor their counts."""
@@ -335,12 +336,11 @@ class Tokens:
         p = np.where(c >= 0, self.root[c] if len(self.root) else 1.0, 1.0)
         pair = np.where((a >= 0) & (b >= 0), _find(self.pairs, (a << _SHIFT) | b), -1)
         after = np.where((b >= 0) & (c >= 0), _find(self.pairs, (b << _SHIFT) | c), -1)
-        share1, share2, left2 = (np.r_[x, y] for x, y in ((self.share1, 0.0), (self.share2, 0.0), (self.left2, 1.0)))
-        p = share1[after] + self.left1[b] * p
+        p = self.share1[after] + self.left1[b] * p
         triple = np.full(len(p), -1)
         ok = np.flatnonzero((pair >= 0) & (c >= 0))
         triple[ok] = _find(self.triples, (pair[ok] << _SHIFT) | c[ok])
-        return share2[triple] + left2[pair] * p
+        return self.share2[triple] + self.left2[pair] * p
 
 
 def _code_counts(end: int, limit: int, pairs: np.ndarray | None):
@@ -471,16 +471,29 @@ def _long_counts(tree: Tokens, bits: np.ndarray, long: int):
     end, tree = tree.ids[b""], tree.nameless()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            key, c, g, n, p, common = (np.concatenate(x) for x in zip(*held))
+            _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            n = np.bincount(of, weights=n).astype(np.int64)
+            c, g, p, rare = c[first], g[first], p[first], ~common[first]
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(g.view(np.int64), mask=rare), pa.array(n), pa.array(p, mask=rare)], ["c", "g", "n", "p"])
+
         for batch in batches:
             every, _, place = laid(batch.column(0).to_pylist(), end)
             at, c, g = _recurring(every, place, bits, long)
             p = tree.probabilities(every)[at - 2]
             common = every[at] >= 0
-            key = np.where(common, g, c ^ np.uint64(_LEFT))
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[first].view(np.int64)), pa.array(g[first].view(np.int64), mask=~common[first]), pa.array(n), pa.array(p[first], mask=~common[first])], ["c", "g", "n", "p"]
-            )
+            key, first, n = np.unique(np.where(common, g, c ^ np.uint64(_LEFT)), return_index=True, return_counts=True)
+            held.append((key, c[first], g[first], n, p[first], common[first]))
+            size += len(key)
+            if size > HELD:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
 
     return run
 
@@ -600,29 +613,31 @@ def language_scores(docs: DataFrame, common: float = COMMON, pairs: float = PAIR
     ids belong to the training part. Every row is scored by itself, whatever ids or texts it shares with
     others. Without training texts every token is unknown and only spelled, uniformly.
     """
-    small_batches(docs.sparkSession)
+    capped_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (_split() == 1).alias("held_out"), text_or_empty().cast("binary").alias("bytes"))
-    vocabulary = materialise(token_counts(docs.filter("not held_out").select(F.col("bytes").alias("text"))), "vocabulary")
-    tree, spelling = common_tokens(vocabulary, common, gain)
-    # A row's number is fixed when it is written here.
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "bytes").mapInArrow(_numbered(tree.ids), _NUMBERED)
-    numbered = materialise(numbered, "numbered")
-    texts = numbered.filter("token is null").select("row", "doc_id", "held_out", "n_tokens", "ids")
-    training = texts.filter("not held_out").select("ids")
-    grow(tree, training, pairs, gain)
-    bits = recurring_map(training, tree.ids[b""], long)
-    values = materialise(long_values(training.mapInArrow(_long_counts(tree, bits, long), "c long, g long, n long, p double"), gain), "values")
-    parts = materialise(texts.mapInArrow(_scored(tree, bits, long, bit_map(values.select(F.col("key").alias("c")))), _PARTS), "parts")
+    with brief_shuffles(docs.sparkSession):
+        vocabulary = materialise(token_counts(docs.filter("not held_out").select(F.col("bytes").alias("text"))), "vocabulary")
+        tree, spelling = common_tokens(vocabulary, common, gain)
+        # A row's number is fixed when it is written here.
+        numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "bytes").mapInArrow(_numbered(tree.ids), _NUMBERED)
+        numbered = materialise(numbered, "numbered")
+        texts = numbered.filter("token is null").select("row", "doc_id", "held_out", "n_tokens", "ids")
+        training = texts.filter("not held_out").select("ids")
+        grow(tree, training, pairs, gain)
+        bits = recurring_map(training, tree.ids[b""], long)
+        values = materialise(long_values(training.mapInArrow(_long_counts(tree, bits, long), "c long, g long, n long, p double"), gain), "values")
+        valued = bit_map(values.select(F.col("key").alias("c")))
     rare = numbered.filter("token is not null").select("row", "token", "m").join(vocabulary.hint("shuffle_merge"), "token", "left")
     rare = rare.select("row", "token", "m", F.coalesce("n", F.lit(0)).alias("c")).mapInArrow(
         _rare(spelling, tree.all_tokens, tree.kinds), "row long, n_known long, base double, score double"
     )
+    # A document's own row meets no value: it is dealt by its number.
+    parts = texts.mapInArrow(_scored(tree, bits, long, valued), _PARTS).withColumn("at", F.coalesce("key", F.xxhash64("row")))
+    met = parts.join(values.withColumnRenamed("key", "of").hint("shuffle_merge"), (F.col("at") == F.col("of")) & F.col("key").isNotNull(), "left")
     zero = F.lit(0).cast("long")
-    more = parts.filter("key is not null").select("row", "key", "m").join(values.hint("shuffle_merge"), "key")
-    more = more.select("row", zero.alias("n_known"), F.lit(0.0).alias("base"), (F.col("m") * F.col("value")).alias("score"))
+    own = [F.coalesce("n_known", zero).alias("n_known"), F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("score", F.col("m") * F.col("value"), F.lit(0.0)).alias("score")]
     none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens")]
-    own = parts.filter("key is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    rows = own.unionByName(rare.unionByName(more).select("row", *none, "n_known", "base", "score"))
+    rows = met.select("row", "doc_id", "held_out", "n_tokens", *own).unionByName(rare.select("row", *none, "n_known", "base", "score"))
     summed = rows.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
     return summed.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.all_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
