@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tarn.functions.text import strip
+from tarn.functions.text import let, strip
 
 # What marks pay by the hour, day or week, and by the month.
 SUB_MONTHLY = r"(?i)\b(per\s+hour|an\s+hour|hourly|/\s*hr|/\s*hour|per\s+day|daily|/\s*day|per\s+week|weekly|/\s*wk|/\s*week)\b"
@@ -41,12 +41,15 @@ def amounts(text: Column, drop_decimals: bool) -> Column:
 
 def pay(raw: Column) -> Column:
     """struct<max_per_year, currency> of a posting's pay, or null if it states none that compares."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    monthly = text.rlike(MONTHLY)
-    floor = F.when(monthly, 100.0).otherwise(1000.0)
-    top = F.array_max(F.filter(amounts(text, True), lambda x: x >= floor))
-    stated = ~text.rlike(SUB_MONTHLY) & top.isNotNull()
-    return F.when(stated, F.struct((top * F.when(monthly, 12.0).otherwise(1.0)).alias("max_per_year"), currency(text).alias("currency")))
+
+    def stated(text: Column) -> Column:
+        times, floor = (lambda of: F.when(of, 12.0).otherwise(1.0)), (lambda of: F.when(of, 100.0).otherwise(1000.0))
+        top = lambda monthly: F.array_max(F.filter(amounts(text, True), lambda x: x >= floor(monthly))) * times(monthly)
+        pays = let(let(text.rlike(MONTHLY), top), lambda x: F.when(x.isNotNull(), F.struct(x.alias("max_per_year"), currency(text).alias("currency"))))
+        return F.when(~text.rlike(SUB_MONTHLY), pays)
+
+    # Each part is evaluated once: Spark does not share what lambdas repeat.
+    return let(strip(F.coalesce(raw, F.lit(""))), stated)
 
 
 def floor_per_year(least: Column, period: Column) -> Column:

@@ -15,6 +15,7 @@ LEGAL_SUFFIXES = (
     "ab", "as", "aps", "pvt", "pte", "srl", "sarl", "kk", "pty",
 )
 _WIDE_SPACE = r"[\s ﻿]"
+SPACE_AT_ENDS = f"^{_WIDE_SPACE}+|{_WIDE_SPACE}+$"
 
 
 def nfkc(s: Column) -> Column:
@@ -29,7 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(s: Column) -> Column:
     """Without white space at both ends, no-break spaces included."""
-    return F.regexp_replace(s, f"^{_WIDE_SPACE}+|{_WIDE_SPACE}+$", "")
+    return F.regexp_replace(s, SPACE_AT_ENDS, "")
 
 
 def squeeze(s: Column) -> Column:
