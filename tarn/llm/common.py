@@ -64,12 +64,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor costs no recomputation, and
     what is read twice is made once. The files go when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

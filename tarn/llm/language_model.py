@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ COMMON, PAIRS = 2e-7, 2e-6
 LONG, THIN = 4, 1
 #: Bits of the map of those met twice or more. It only keeps others from being joined; where it is full, all are.
 MAP_BITS = 26
+#: Training tokens to a part of the hashes, and bits of a part's number at most: a task holds a part at a time.
+PART, PART_BITS = 500_000, 14
 #: Counts that a task holds before it hands them on.
 HELD = 500_000
 #: What stands for a token's begin and end, for the end of the text, and for no byte. None is in a token.
@@ -111,6 +114,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 10_000, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches put together to some rows, or bytes, each: tokens are short, and a batch of few costs as much as one of many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key = context << 8 | next symbol, at the full depth only: shorter contexts are sums of these."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -120,7 +135,7 @@ def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         keys, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
-    for batch in batches:
+    for batch in _larger(batches):
         n = batch.column(1).to_numpy(zero_copy_only=False)
         code, following, token = symbols(batch.column(0).to_pylist())
         held.append(_summed((code << np.uint64(8)) | following, n[token]))
@@ -331,8 +346,11 @@ class Tokens:
     def probabilities(self, every: np.ndarray) -> np.ndarray:
         """The probability of each id from the third on, after the two before; for -1, that of any such
         token, without its own part at the root."""
-        every = np.maximum(every, -1)
-        a, b, c = every[:-2], every[1:-1], every[2:]
+        return self.after(every[:-2], every[1:-1], every[2:])
+
+    def after(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The same of each c after a and b."""
+        a, b, c = (np.maximum(x, -1) for x in (a, b, c))
         p = np.where(c >= 0, self.root[c] if len(self.root) else 1.0, 1.0)
         pair = np.where((a >= 0) & (b >= 0), _find(self.pairs, (a << _SHIFT) | b), -1)
         after = np.where((b >= 0) & (c >= 0), _find(self.pairs, (b << _SHIFT) | c), -1)
@@ -363,7 +381,7 @@ def _code_counts(end: int, limit: int, pairs: np.ndarray | None):
                 at = _find(pairs, codes)
                 codes = np.where((at[:-1] >= 0) & (at[1:] >= 0), (at[:-1] << _SHIFT) | x[2:], -1)
             codes = codes[codes >= 0]
-            held.append(_summed(codes, np.ones(len(codes), dtype=np.int64)) if len(codes) else (codes, codes))
+            held.append(np.unique(codes, return_counts=True))
             size += len(held[-1][0])
             if size > HELD:
                 yield rows()
@@ -384,8 +402,8 @@ def _often(docs: DataFrame, counted, least: float) -> tuple[np.ndarray, np.ndarr
 # --- long contexts ---------------------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: What makes the keys of values for held-out texts, and of what a context leaves to its parent.
-_HELD, _LEFT = 0x2545F4914F6CDD1D, 0x632BE59BD9B4E019
+#: What makes the keys of what a context leaves to its parent.
+_LEFT = 0x632BE59BD9B4E019
 
 
 def long_contexts(every: np.ndarray, long: int = LONG) -> np.ndarray:
@@ -406,22 +424,44 @@ def _candidates(every: np.ndarray, place: np.ndarray, long: int) -> tuple[np.nda
     return at + long, h[at]
 
 
-def _context_marks(end: int, long: int):
-    """How often each candidate is met."""
+def part_bits(all_tokens: int) -> int:
+    """The hashes are dealt by their first bits, so many that a part has few of them whatever the corpus."""
+    return min(PART_BITS, max(0, -(-all_tokens // PART) - 1).bit_length())
+
+
+def _part(hashes: np.ndarray, deal: int) -> np.ndarray:
+    return ((hashes >> np.uint64(1)) >> np.uint64(63 - deal)).astype(np.uint16)
+
+
+def _slices(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The parts that sorted part has, and where each begins and ends."""
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    return part[first], list(zip(first.tolist(), [*first[1:].tolist(), len(part)]))
+
+
+def _marks(heads: np.ndarray) -> pa.RecordBatch:
+    """part, heads of sorted heads: the hashes' bits up to 32 after those of the part. These are packed."""
+    parts, at = _slices((heads >> np.uint64(32)).astype(np.uint16))
+    low = (heads & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([low[a:b].tobytes() for a, b in at], pa.binary())], ["part", "heads"])
+
+
+def _context_marks(end: int, long: int, deal: int):
+    """The heads of the candidates of some texts, of each two at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
-            keys, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["c", "n"])
+            heads = np.sort(np.concatenate(held))
+            return _marks(heads[np.r_[True, True, heads[2:] != heads[:-2]][: len(heads)]])
 
         for batch in batches:
             every, _, place = laid(batch.column(0).to_pylist(), end)
-            held.append(np.unique(_candidates(every, place, long)[1], return_counts=True))
-            size += len(held[-1][0])
-            if size > HELD:
+            held.append(_candidates(every, place, long)[1] >> np.uint64(32 - deal))
+            size += len(held[-1])
+            if size > 2 * HELD:
                 yield rows()
                 held, size = [], 0
         if size:
@@ -430,28 +470,49 @@ def _context_marks(end: int, long: int):
     return run
 
 
-def recurring_map(ids: DataFrame, end: int, long: int = LONG) -> np.ndarray:
+def _key_marks(deal: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(32 - deal))
+            size += batch.num_rows
+            if size > HELD:
+                yield _marks(np.sort(np.concatenate(held)))
+                held, size = [], 0
+        if size:
+            yield _marks(np.sort(np.concatenate(held)))
+
+    return run
+
+
+def recurring_map(ids: DataFrame, end: int, deal: int, long: int = LONG) -> np.ndarray:
     """The bits of the candidates that are met twice or more: a fixed number of bytes."""
-    marks = ids.mapInArrow(_context_marks(end, long), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).filter("n > 1")
-    return bit_map(marks)
+    return _bit_map(ids.mapInArrow(_context_marks(end, long, deal), "part int, heads binary"), deal, True)
 
 
-def bit_map(marks: DataFrame) -> np.ndarray:
-    """The bits of the values of column c: a fixed number of bytes."""
-    place = F.shiftrightunsigned("c", 64 - MAP_BITS)
-    words = marks.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(c, {64 - MAP_BITS}) & 63 as int)))").alias("bits"))
-    size = 2048  # words of 64 bits in a part
+def value_map(values: DataFrame, deal: int) -> np.ndarray:
+    """The bits of the keys that have a value."""
+    return _bit_map(values.select("key").mapInArrow(_key_marks(deal), "part int, heads binary"), deal, False)
+
+
+def _bit_map(marks: DataFrame, deal: int, twice: bool) -> np.ndarray:
+    """The bits of all heads, or of those met twice."""
+    size = 1 << (MAP_BITS - deal)
 
     def dense(group: pa.Table) -> pa.Table:
-        out = np.zeros(size, dtype=np.int64)
-        word = group.column("word").to_numpy()
-        out[word % size] = group.column("bits").to_numpy()
-        return pa.table({"part": pa.array([int(word[0]) // size], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+        heads = np.sort(np.frombuffer(b"".join(group.column("heads").to_pylist()), dtype=np.uint32))
+        if twice:
+            heads = heads[1:][heads[1:] == heads[:-1]]
+        out = np.zeros(size, dtype=np.uint8)
+        out[heads >> np.uint32(32 - MAP_BITS + deal)] = 1
+        bits = np.packbits(out, bitorder="little").tobytes()
+        return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([bits], pa.binary())})
 
-    parts = words.withColumn("part", F.expr(f"word div {size}")).groupBy("part").applyInArrow(dense, "part long, bits binary").collect()
     out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
-    for r in parts:
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint64)
+    words = size // 64
+    for r in marks.groupBy("part").applyInArrow(dense, "part int, bits binary").collect():
+        out[r["part"] * words : (r["part"] + 1) * words] = np.frombuffer(r["bits"], dtype=np.uint64)
     return out
 
 
@@ -484,10 +545,11 @@ def _long_counts(tree: Tokens, bits: np.ndarray, long: int):
         for batch in batches:
             every, _, place = laid(batch.column(0).to_pylist(), end)
             at, c, g = _recurring(every, place, bits, long)
-            p = tree.probabilities(every)[at - 2]
             common = every[at] >= 0
             key, first, n = np.unique(np.where(common, g, c ^ np.uint64(_LEFT)), return_index=True, return_counts=True)
-            held.append((key, c[first], g[first], n, p[first], common[first]))
+            one = at[first]
+            p = tree.after(every[one - 2], every[one - 1], every[one])
+            held.append((key, c[first], g[first], n, p, common[first]))
             size += len(key)
             if size > HELD:
                 yield rows()
@@ -498,47 +560,80 @@ def _long_counts(tree: Tokens, bits: np.ndarray, long: int):
     return run
 
 
-def long_values(counts: DataFrame, gain: float = GAIN) -> DataFrame:
-    """key, value: what a kept long context adds to the log10 probability of its parent. Keys: the context with a
-    next token; the same for held-out texts, less what the context leaves; and that, for any other next token."""
+def long_values(counts: DataFrame, gain: float = GAIN, often: float = float("inf")) -> DataFrame:
+    """key, value, rest, often: what a kept long context adds to the log10 probability of its parent. Keys: the context
+    with a next token; and what the context leaves, for any other next token. rest is the value of the first kind less
+    what the context leaves: held-out texts ask for both. often: met at least so many times."""
     grams = counts.repartition("c").groupBy("c", "g").agg(F.sum("n").alias("n"), F.max("p").alias("p"))
     own = Window.partitionBy("c")
     seen = F.coalesce(F.sum(F.when(F.col("g").isNotNull(), F.col("n"))).over(own), F.lit(0))
-    grams = grams.select("*", (F.sum("n").over(own) + F.count("g").over(own) + 1).cast("double").alias("whole"), seen.alias("seen"), F.sum("n").over(own).alias("met"))
-    grams = grams.withColumn("left", (F.col("whole") - F.col("seen")) / F.col("whole"))
-    times = F.when(F.col("g").isNull(), F.col("left")).otherwise((F.col("n") / F.col("whole") + F.col("left") * F.col("p")) / F.col("p"))
-    grams = grams.withColumn("times", times).withColumn("better", F.sum(F.col("n") * F.log("times")).over(own))
+    grams = grams.select("*", (F.sum("n").over(own) + F.count("g").over(own) + 1).cast("double").alias("whole"), seen.alias("seen"), F.sum("n").over(own).alias("met"), F.min("g").over(own).alias("least"))
     # A context met once may share a bit of the map with another: it is none, whatever it would gain.
-    grams = grams.filter((F.col("met") > 1) & (F.col("better") >= gain))
-    least = F.row_number().over(own.orderBy(F.asc_nulls_first("g"))) == 1
-    by_token = F.array(
-        F.struct(F.col("g").alias("key"), F.log10("times").alias("value")),
-        F.struct(F.col("g").bitwiseXOR(F.lit(_HELD)).alias("key"), (F.log10("times") - F.log10("left")).alias("value")),
-    )
-    none = F.array().cast("array<struct<key: bigint, value: double>>")
-    any_ = F.array(F.struct(F.col("c").bitwiseXOR(F.lit(_LEFT)).alias("key"), F.log10("left").alias("value")))
-    rows = grams.select(F.concat(F.when(F.col("g").isNotNull(), by_token).otherwise(none), F.when(least, any_).otherwise(none)).alias("r"))
-    return rows.select(F.explode("r").alias("r")).select("r.key", "r.value")
+    grams = grams.filter("met > 1").withColumn("left", (F.col("whole") - F.col("seen")) / F.col("whole"))
+    times = F.when(F.col("g").isNull(), F.col("left")).otherwise((F.col("n") / F.col("whole") + F.col("left") * F.col("p")) / F.col("p"))
+    grams = grams.withColumn("times", times).withColumn("better", F.sum(F.col("n") * F.log("times")).over(own)).filter(F.col("better") >= gain)
+    # One row of each context: that of the tokens that are not common, or else the least g.
+    one = F.col("g").isNull() | ((F.col("seen") == F.col("met")) & (F.col("g") == F.col("least")))
+    row = lambda key, value, rest, n: F.struct(key.alias("key"), value.alias("value"), rest.cast("double").alias("rest"), (n >= often).alias("often"))
+    by_token = F.array(row(F.col("g"), F.log10("times"), F.log10("times") - F.log10("left"), F.col("n")))
+    none = F.array().cast("array<struct<key: bigint, value: double, rest: double, often: boolean>>")
+    any_ = F.array(row(F.col("c").bitwiseXOR(F.lit(_LEFT)), F.log10("left"), F.lit(0.0), F.col("met")))
+    rows = grams.select(F.concat(F.when(F.col("g").isNotNull(), by_token).otherwise(none), F.when(one, any_).otherwise(none)).alias("r"))
+    return rows.select(F.explode("r").alias("r")).select("r.*")
 
 
 # --- scores ----------------------------------------------------------------------------------------
 
-_PARTS = "row long, doc_id long, held_out boolean, key long, m long, n_tokens long, n_known long, base double, score double"
-_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
+#: What a document's own row has; and, null there, what is asked for some documents (a chunk of them): keys of a part, the
+#: documents' places in the chunk (of 16 bits), how often (below 0 by held-out texts), packed.
+_OWN = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_OWN_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+_ASKED = f"part int, chunk long, place int, keys binary, places binary, times binary, {_OWN}"
+_ANSWERED = f"chunk long, place int, places binary, sums binary, {_OWN}"
+_VALUED = "part int, keys binary, vals binary, rests binary"
+CHUNK = 1 << 16
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def _scored(tree: Tokens, bits: np.ndarray, long: int, keys: np.ndarray):
+def _joined(column, dtype) -> np.ndarray:
+    """The numbers packed in all rows of a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
+
+
+def _scored(tree: Tokens, bits: np.ndarray, long: int, valued: np.ndarray, often: tuple[np.ndarray, np.ndarray, np.ndarray], deal: int):
+    """valued: the map of the keys with a value; often: those met often, sorted, with value and rest."""
     base = np.r_[np.log10((tree.n + 0.5) / (tree.all_tokens + 0.5 * (tree.kinds + 1))), 0.0]
     met = np.r_[tree.n > 0, False]
     end, tree = tree.ids[b""], tree.nameless()
+    names = _names(_ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with a null key for each document, with what its common tokens and short contexts give; and one
-        for each key of a long context of it that has a bit in keys, the map of those with a value."""
+        """Each document's own row, with what its common tokens, short contexts and frequent long ones give; and what
+        is asked for its other long contexts."""
+        held: list[tuple[np.ndarray, ...]] = []
+        chunk = size = filled = 0
+
+        def asked() -> pa.RecordBatch:
+            key, place, times = (np.concatenate(x) for x in zip(*held))
+            part = _part(key, deal)
+            order = np.argsort(part, kind="stable")
+            parts, at = _slices(part[order])
+            packed = [pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (key[order], place[order], times[order])]
+            k = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(k, chunk)), pa.nulls(k, pa.int32()), *packed, *(pa.nulls(k, t) for t in _OWN_TYPES)], names)
+
         for batch in batches:
             n = batch.num_rows
-            row, held = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            row, out = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            if size > HELD or filled + n > CHUNK:
+                if size:
+                    yield asked()
+                held, size, filled = [], 0, 0
+            if not filled and n:
+                chunk = int(row[0])
             every, text, place = laid(batch.column(4).to_pylist(), end)
             own = place >= 0
             logs = np.r_[0.0, 0.0, np.log10(tree.probabilities(every))] if n else np.empty(0)
@@ -548,31 +643,94 @@ def _scored(tree: Tokens, bits: np.ndarray, long: int, keys: np.ndarray):
             known = np.bincount(text, weights=own & met[x], minlength=n).astype(np.int64)
             at, c, g = _recurring(every, place, bits, long)
             of, common = text[at], every[at] >= 0
-            h = held[of].astype(bool)
-            key = np.r_[np.where(h, g ^ np.uint64(_HELD), g)[common], (c ^ np.uint64(_LEFT))[h | ~common]]
-            of = np.r_[of[common], of[h | ~common]]
+            h = out[of].astype(bool)
+            any_ = h | ~common
+            key, of, minus = np.r_[g[common], (c ^ np.uint64(_LEFT))[any_]], np.r_[of[common], of[any_]], np.r_[h[common], np.zeros(int(any_.sum()), dtype=bool)]
             bit = key >> np.uint64(64 - MAP_BITS)
-            some = (keys[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            key, of = key[some], of[some]
-            # Each key of a text once.
+            some = (valued[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            key, of, minus = key[some], of[some], minus[some]
+            found = _find(often[0], key)
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
+                score += np.bincount(of[hit], weights=np.where(minus[hit], often[2][found[hit]], often[1][found[hit]]), minlength=n)
+                key, of, minus = (y[found < 0] for y in (key, of, minus))
+            # Each key of a text once; a text asks for a key by one sign.
             order = np.lexsort((key, of))
-            key, of = key[order], of[order]
+            key, of, minus = key[order], of[order], minus[order]
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])][: len(key)])
             times = np.diff(np.r_[first, len(key)])
-            k = len(first)
-            null = lambda t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column(3), pa.array(known), pa.array(bases), pa.array(score)], _NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(row[of[first]]), null(pa.int64()), null(pa.bool_()), pa.array(key[first].view(np.int64)), pa.array(times.astype(np.int64)), *map(null, _TYPES[5:])], _NAMES)
+            held.append((key[first], (of[first] + filled).astype(np.uint16), np.where(minus[first], -times, times).astype(np.int32)))
+            none = pa.nulls(n, pa.binary())
+            places = pa.array(np.arange(filled, filled + n), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(row % (1 << deal), pa.int32()), pa.array(np.full(n, chunk)), places, none, none, none, *batch.columns[:4], pa.array(known), pa.array(bases), pa.array(score)], names)
+            size, filled = size + len(first), filled + n
+        if size:
+            yield asked()
+
+    return run
+
+
+def _packed_values(deal: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            part = _part(columns[0], deal)
+            order = np.argsort(part, kind="stable")
+            parts, at = _slices(part[order])
+            packed = [pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (y[order] for y in columns)]
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *packed], _names(_VALUED))
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            size += batch.num_rows
+            if size > HELD:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
 
     return run
 
 
+def _answers(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """Documents' own rows as they are; and for each row of keys what those that have a value give."""
+    is_own = pc.is_valid(asked.column("row"))
+    own, asked = asked.filter(is_own), asked.filter(pc.invert(is_own))
+    known, vals, rests = (_joined(values.column(c), t) for c, t in (("keys", np.uint64), ("vals", np.float64), ("rests", np.float64)))
+    order = np.argsort(known)
+    known, vals, rests = known[order], vals[order], rests[order]
+    keys, places, times = (_joined(asked.column(c), t) for c, t in (("keys", np.uint64), ("places", np.uint16), ("times", np.int32)))
+    found = _find(known, keys)
+    hit = np.flatnonzero(found >= 0)
+    found, places, times = found[hit], places[hit], times[hit]
+    sums = np.abs(times) * np.where(times < 0, rests[found], vals[found])
+    ends = np.searchsorted(hit, np.cumsum([len(x) // 8 for x in asked.column("keys").to_pylist()]))
+    at = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    k, null = len(at), lambda t, m: pa.nulls(m, t)
+    packed = [pa.array([x[a:b].tobytes() for a, b in at], pa.binary()) for x in (places, sums)]
+    given = [asked.column("chunk"), null(pa.int32(), k), *packed, *(null(t, k) for t in _OWN_TYPES)]
+    kept = [own.column("chunk"), own.column("place"), null(pa.binary(), own.num_rows), null(pa.binary(), own.num_rows), *(own.column(c) for c in _names(_OWN))]
+    return pa.concat_tables([pa.table(x, names=_names(_ANSWERED)) for x in (kept, given)])
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """The own rows of a chunk with what was given for them."""
+    is_own = pc.is_valid(group.column("row"))
+    own, given = group.filter(is_own), group.filter(pc.invert(is_own))
+    sums = np.bincount(_joined(given.column("places"), np.uint16), weights=_joined(given.column("sums"), np.float64), minlength=CHUNK)
+    score = own.column("score").to_numpy() + sums[own.column("place").to_numpy()]
+    return pa.table([*(own.column(c) for c in _names(_OWN)[:-1]), pa.array(score)], names=_names(_OWN))
+
+
 def _rare(spelling: Spelling, all_tokens: int, kinds: int):
     names = ["row", "n_known", "base", "score"]
     root = Tokens([], np.empty(0), all_tokens, kinds, np.empty(0)).root_probability
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _larger(batches):
             token = batch.column(1).dictionary_encode()
             spelled = spelling.score(token.dictionary.to_pylist())[token.indices.to_numpy(zero_copy_only=False)]
             m, c = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3))
@@ -620,25 +778,31 @@ def language_scores(docs: DataFrame, common: float = COMMON, pairs: float = PAIR
         tree, spelling = common_tokens(vocabulary, common, gain)
         # A row's number is fixed when it is written here.
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "bytes").mapInArrow(_numbered(tree.ids), _NUMBERED)
-        numbered = materialise(numbered, "numbered")
+        numbered = materialise(numbered, "numbered", "zstd")
+        # A row for each document that has tokens which are not common.
+        rare = numbered.filter("token is not null").select("row", "token", "m").join(vocabulary.hint("shuffle_merge"), "token", "left")
+        rare = rare.select("row", "token", "m", F.coalesce("n", F.lit(0)).alias("c")).mapInArrow(
+            _rare(spelling, tree.all_tokens, tree.kinds), "row long, n_known long, base double, score double"
+        )
+        rare = materialise(rare.groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("n_known", "base", "score")]), "rare")
         texts = numbered.filter("token is null").select("row", "doc_id", "held_out", "n_tokens", "ids")
         training = texts.filter("not held_out").select("ids")
         grow(tree, training, pairs, gain)
-        bits = recurring_map(training, tree.ids[b""], long)
-        values = materialise(long_values(training.mapInArrow(_long_counts(tree, bits, long), "c long, g long, n long, p double"), gain), "values")
-        valued = bit_map(values.select(F.col("key").alias("c")))
-    rare = numbered.filter("token is not null").select("row", "token", "m").join(vocabulary.hint("shuffle_merge"), "token", "left")
-    rare = rare.select("row", "token", "m", F.coalesce("n", F.lit(0)).alias("c")).mapInArrow(
-        _rare(spelling, tree.all_tokens, tree.kinds), "row long, n_known long, base double, score double"
-    )
-    # A document's own row meets no value: it is dealt by its number.
-    parts = texts.mapInArrow(_scored(tree, bits, long, valued), _PARTS).withColumn("at", F.coalesce("key", F.xxhash64("row")))
-    met = parts.join(values.withColumnRenamed("key", "of").hint("shuffle_merge"), (F.col("at") == F.col("of")) & F.col("key").isNotNull(), "left")
-    zero = F.lit(0).cast("long")
-    own = [F.coalesce("n_known", zero).alias("n_known"), F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("score", F.col("m") * F.col("value"), F.lit(0.0)).alias("score")]
-    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens")]
-    rows = met.select("row", "doc_id", "held_out", "n_tokens", *own).unionByName(rare.select("row", *none, "n_known", "base", "score"))
-    summed = rows.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
-    return summed.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.all_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
+        deal = part_bits(tree.all_tokens)
+        bits = recurring_map(training, tree.ids[b""], deal, long)
+        counts = training.mapInArrow(_long_counts(tree, bits, long), "c long, g long, n long, p double")
+        values = materialise(long_values(counts, gain, max(2.0, pairs * tree.all_tokens)), "values")
+        valued = value_map(values, deal)
+        # Those met often, at most 1 / pairs of each kind, are looked up beside the text: no part has many that ask for one key.
+        often = values.filter("often").select("key", "value", "rest").toPandas()
+    keys = often["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    often = (keys[order], *(often[c].to_numpy(dtype=np.float64)[order] for c in ("value", "rest")))
+    asked = texts.mapInArrow(_scored(tree, bits, long, valued, often, deal), _ASKED)
+    packed = values.filter("not often").select("key", "value", "rest").mapInArrow(_packed_values(deal), _VALUED)
+    answered = asked.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_answers, _ANSWERED)
+    rows = answered.groupBy("chunk").applyInArrow(_added, _OWN).join(rare.hint("shuffle_merge"), "row", "left")
+    both = {c: F.col(c) + F.coalesce(f"rare_{c}", F.lit(0)) for c in ("n_known", "base", "score")}
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", both["n_known"].alias("n_known"), F.lit(tree.all_tokens).cast("long").alias("train_tokens"), both["base"].alias("base_score"), both["score"].alias("score")
     )
