@@ -70,9 +70,24 @@ def clean_list(values: Column) -> Column:
     return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda t: strip(F.coalesce(t, F.lit("")))), lambda t: t != "")
 
 
+def telling(normalised: Column) -> Column:
+    """The words of what norm_text gave that say something."""
+    return F.filter(F.split(normalised, " "), lambda t: (t != "") & ~t.isin(*STOPWORDS))
+
+
 def tokens(s: Column) -> Column:
     """The words of norm_text that say something."""
-    return F.filter(F.split(norm_text(s), " "), lambda t: (t != "") & ~t.isin(*STOPWORDS))
+    return telling(norm_text(s))
+
+
+def first_tokens(s: Column, n: int, head: int = 400) -> Column:
+    """The first n of tokens(s), whatever the text's length.
+
+    What stands before a space is normalised alike whatever comes after it: if the text's head, up to its last space, has n of
+    them, they are the first n of the whole text; if it has fewer, the whole text is normalised.
+    """
+    begun = tokens(F.regexp_extract(F.left(s, F.lit(head)), "(?s)^(.*) ", 1))
+    return let(begun, lambda t: F.when(F.size(t) >= n, F.slice(t, 1, n)).otherwise(F.slice(tokens(s), 1, n)))
 
 
 def company_name(s: Column) -> Column:

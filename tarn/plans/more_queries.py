@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tarn.functions import dates, display, html, money, place, text
 from tarn.operators import cards, companies, lifecycle, links, registry
 from tarn.plans import listing
-from tarn.plans.queries import _ANCHORS_SQL, _CRAWLS, _MATCHING, _crawl, _page_anchors, _sql_norm, _titles, query
+from tarn.plans.queries import _ANCHORS_SQL, _CRAWLS, _MATCHING, _crawl, _first_words, _page_anchors, _sql_norm, _titles, query
+from tarn.plans.stored import stored
 from tarn.plans.tables import postings, sources, table
 from tarn.sources import boards
 
@@ -25,20 +26,22 @@ _POSTED = "posted AS (SELECT doc_id % 50 AS page_id, doc_id AS pos, title, tw, C
 _SHARE = "CASE WHEN len(tw) = 0 OR len(aw) = 0 THEN 0.0::DOUBLE WHEN title <> '' AND contains(text, title) THEN least(1.0::DOUBLE, len(list_filter(tw, lambda x: list_contains(aw, x)))::DOUBLE / len(tw) + 0.15::DOUBLE) ELSE len(list_filter(tw, lambda x: list_contains(aw, x)))::DOUBLE / len(tw) END"
 
 
-def _posted(spark, sf_dir):
+def _posted(words):
     """Postings that cite a link, have an address of their own, both or neither."""
     k = F.col("pos")
-    return _titles(spark, sf_dir).withColumns({"link_id": F.when(k % 3 < 2, k), "url": F.when(k % 2 == 0, F.concat(F.lit("HTTPS://X.example.com/"), (k * 7 % 60).cast("string")))})
+    return _titles(words).withColumns({"link_id": F.when(k % 3 < 2, k), "url": F.when(k % 2 == 0, F.concat(F.lit("HTTPS://X.example.com/"), (k * 7 % 60).cast("string")))})
 
 
 @query(f"WITH {_MATCHING}, {_POSTED} SELECT p.page_id, pos, href AS cited, round({_SHARE}, 6) AS score FROM posted p JOIN links_v l ON p.page_id = l.page_id AND p.link_id = l.link_id")
 def cited_links(spark, sf_dir):
-    return links.cited_links(_posted(spark, sf_dir), _page_anchors(spark, sf_dir)).select("page_id", "pos", "cited", F.round("cited_score", 6).alias("score"))
+    words = stored(_first_words(spark, sf_dir), "first-words")
+    return links.cited_links(_posted(words), _page_anchors(words)).select("page_id", "pos", "cited", F.round("cited_score", 6).alias("score"))
 
 
 @query(f"WITH {_MATCHING}, {_POSTED}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY link_id) AS rn FROM links_v) WHERE rn = 1) SELECT p.page_id, pos, url AS own, round({_SHARE}, 6) AS score FROM posted p JOIN firsts f ON p.page_id = f.page_id AND lower(p.url) = lower(f.href)")
 def own_address_links(spark, sf_dir):
-    return links.own_links(_posted(spark, sf_dir), _page_anchors(spark, sf_dir)).select("page_id", "pos", "own", F.round("own_score", 6).alias("score"))
+    words = stored(_first_words(spark, sf_dir), "first-words")
+    return links.own_links(_posted(words), _page_anchors(words)).select("page_id", "pos", "own", F.round("own_score", 6).alias("score"))
 
 
 @query(f"""
@@ -49,7 +52,8 @@ FROM posted p LEFT JOIN k ON p.page_id = k.page_id AND p.pos = k.pos LEFT JOIN c
 LEFT JOIN best b ON p.page_id = b.page_id AND p.pos = b.pos""")
 def link_priority(spark, sf_dir):
     """Which branch gives each posting its link, before two claims on one link are settled."""
-    rows, usable = _posted(spark, sf_dir), _page_anchors(spark, sf_dir)
+    words = stored(_first_words(spark, sf_dir), "first-words")
+    rows, usable = _posted(words), _page_anchors(words)
     card = rows.filter("pos % 4 = 0").select("page_id", "pos", F.lit("https://c.example.com/").alias("href"), F.lit(1.0).alias("score"))
     return links.branches(rows, usable, card).select("page_id", "pos", "branch")
 

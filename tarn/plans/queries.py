@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarn.functions import dates, display, html, money, place, text, url
 from tarn.operators import companies, gates, identity, lifecycle, links, registry
 from tarn.plans import listing
+from tarn.plans.stored import stored
 from tarn.plans.tables import POSTINGS_SQL, SOURCES_SQL, postings, sources, table
 from tarn.sources import attempts, boards, feeds
 from tarn.streaming.poll import ticks
@@ -463,18 +464,20 @@ def thin_backstop(spark, sf_dir):
 # --- titles and anchors ----------------------------------------------------------------------------
 
 
-def _titles(spark, sf_dir):
+def _first_words(spark, sf_dir):
+    """doc_id and the first eight words of every document: what titles and anchors are made of."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_tokens(F.col("text"), 8).alias("words"))
+
+
+def _titles(words):
     """Every document of a page's number as a title to place: its first five words."""
-    docs = table(spark, sf_dir, "documents")
-    five = F.array_join(F.slice(text.tokens(F.col("text")), 1, 5), " ")
-    return docs.select((F.col("doc_id") % 50).alias("page_id"), F.col("doc_id").alias("pos"), five.alias("title"))
+    return words.select((F.col("doc_id") % 50).alias("page_id"), F.col("doc_id").alias("pos"), F.array_join(F.slice("words", 1, 5), " ").alias("title"))
 
 
-def _page_anchors(spark, sf_dir):
+def _page_anchors(words):
     """Anchors of page k: the first eight words of every document whose number divides likewise, shifted."""
-    docs = table(spark, sf_dir, "documents")
-    words = F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " ")
-    return docs.select(((F.col("doc_id") + F.col("doc_id") % 3) % 50).alias("page_id"), F.col("doc_id").alias("link_id"), F.concat(F.lit("https://x.example.com/"), (F.col("doc_id") % 40).cast("string")).alias("href"), words.alias("text"))
+    href = F.concat(F.lit("https://x.example.com/"), (F.col("doc_id") % 40).cast("string"))
+    return words.select(((F.col("doc_id") + F.col("doc_id") % 3) % 50).alias("page_id"), F.col("doc_id").alias("link_id"), href.alias("href"), F.array_join("words", " ").alias("text"))
 
 
 _WORDS = f"list_filter(string_split({_sql_norm('text')}, ' '), lambda t: t <> '' AND t NOT IN ({', '.join(repr(w) for w in text.STOPWORDS)}))"
@@ -492,7 +495,8 @@ best AS (SELECT page_id, pos, link_id, href, score FROM ranked WHERE rn = 1 AND
 
 @query(f"WITH {_MATCHING} SELECT page_id, pos, link_id, round(score, 6) AS score FROM best")
 def title_anchor_best(spark, sf_dir):
-    best = links.best_anchor(_titles(spark, sf_dir), _page_anchors(spark, sf_dir))
+    words = stored(_first_words(spark, sf_dir), "first-words")
+    best = links.best_anchor(_titles(words), _page_anchors(words))
     return best.select("page_id", "pos", "link_id", F.round("score", 6).alias("score"))
 
 
@@ -506,8 +510,9 @@ SELECT t.page_id, t.pos, CASE WHEN claim > 1 THEN alt.href ELSE c.href END AS ur
        round(CASE WHEN claim > 1 AND alt.href IS NOT NULL THEN alt.score ELSE c.score END, 6) AS score
 FROM titles t LEFT JOIN c ON c.page_id = t.page_id AND c.pos = t.pos LEFT JOIN alt ON alt.page_id = t.page_id AND alt.pos = t.pos""")
 def href_arbitration(spark, sf_dir):
-    rows = _titles(spark, sf_dir).withColumns({"link_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string")})
-    out = links.resolve(rows, _page_anchors(spark, sf_dir).withColumn("usable", F.lit(True)))
+    words = stored(_first_words(spark, sf_dir), "first-words")
+    rows = _titles(words).withColumns({"link_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string")})
+    out = links.resolve(rows, _page_anchors(words).withColumn("usable", F.lit(True)))
     return out.select("page_id", "pos", "url", "source", F.round("score", 6).alias("score"))
 
 
