@@ -41,7 +41,7 @@ def test_titles_of_common_words_do_not_meet_all_that_share_one(spark):
     line = lambda k: " ".join(rng.sample([f"w{i}" for i in range(60)], k))
     titles = spark.createDataFrame([(1, i, line(5)) for i in range(300)], TITLES)
     anchors = spark.createDataFrame([(1, i, f"https://x.org/{i}", line(8)) for i in range(3000)], ANCHORS)
-    # An anchor in three has one of a title's three rarest words: 270 000 pairs.
+    # About one anchor in three has one of a title's three rarest words: some 300 000 pairs by reckoning.
     of = links.lookup(titles, anchors)
     assert links._found(of, of.ranked, links.NEAR_STRONG).count() < 120_000
     assert links.close_pairs(titles, anchors, links.NEAR_STRONG).count() < 30_000
